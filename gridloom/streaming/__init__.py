@@ -1,0 +1 @@
+"""Nothing to offer here: the work re-expressed by this package is batch only."""
