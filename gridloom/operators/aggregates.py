@@ -8,7 +8,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gridloom.plans.ordered import grouped_quantiles
+from gridloom.plans.ordered import grouped_quantiles, running_before
 from gridloom.plans.stacked import stack_text
 
 GRAND_TOTAL = "Grand Total"
@@ -100,7 +100,8 @@ def rfm_scores(base: DataFrame, customer: str) -> DataFrame:
     out = base
     for m, short, flip in zip(measures, ("r", "f", "m"), (True, False, False)):
         e = edges.select(F.col(m)).scalar()
-        level = F.size(F.filter(F.slice(e, 2, 4), lambda x, m=m: x < F.col(m))) + 1
+        below = [(F.get(e, F.lit(i)) < F.col(m)).cast("int") for i in range(1, 5)]
+        level = below[0] + below[1] + below[2] + below[3] + 1
         score = F.when(F.size(F.array_distinct(e)) < 6, F.lit(3)).otherwise(6 - level if flip else level)
         out = out.withColumn(f"{short}_score", score.cast("bigint"))
     r, f = F.col("r_score"), F.col("f_score")
@@ -194,8 +195,6 @@ def concentration(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     long = long.where(F.col("value").isNotNull())
     size = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
-    from gridloom.plans.ordered import running_before
-
     placed = running_before(
         counts.withColumn("neg", -F.col("value")), ["column"], "neg", "c"
     )
