@@ -84,9 +84,9 @@ e AS (SELECT quantile_cont(recency_days::DOUBLE, [0, .2, .4, .6, .8, 1]) AS r,
              quantile_cont(monetary, [0, .2, .4, .6, .8, 1]) AS m FROM base),
 s AS (
   SELECT o_custkey, recency_days, frequency, round(monetary, 2) AS monetary,
-    CASE WHEN len(list_distinct(r)) < 6 THEN 3 ELSE 5 - len(list_filter(r[2:5], x -> x < recency_days)) END AS r_score,
-    CASE WHEN len(list_distinct(f)) < 6 THEN 3 ELSE 1 + len(list_filter(f[2:5], x -> x < frequency)) END AS f_score,
-    CASE WHEN len(list_distinct(m)) < 6 THEN 3 ELSE 1 + len(list_filter(m[2:5], x -> x < monetary)) END AS m_score
+    CASE WHEN len(list_distinct(r)) < 6 THEN 3 ELSE 5 - len(list_filter(r[2:5], lambda x: x < recency_days)) END AS r_score,
+    CASE WHEN len(list_distinct(f)) < 6 THEN 3 ELSE 1 + len(list_filter(f[2:5], lambda x: x < frequency)) END AS f_score,
+    CASE WHEN len(list_distinct(m)) < 6 THEN 3 ELSE 1 + len(list_filter(m[2:5], lambda x: x < monetary)) END AS m_score
   FROM base, e),
 seg AS (
   SELECT *, r_score + f_score + m_score AS rfm_score,

@@ -10,6 +10,7 @@ import math
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -91,6 +92,21 @@ def normal_two_sided_value(z: float) -> float:
     return math.erfc(abs(z) / math.sqrt(2))
 
 
+def kendall_exact_value(n: float, inversions: float) -> float:
+    """Two-sided p of a rank order of ``n`` values with so many inversions, from the inversion-count law."""
+    n, top = int(n), int(n * (n - 1) // 2)
+    c = int(min(inversions, top - inversions))
+    if 4 * c == n * (n - 1):
+        return 1.0
+    ways = np.zeros(c + 1)
+    ways[0] = 1.0
+    for k in range(2, n + 1):
+        sums = np.cumsum(ways)
+        ways = sums - np.concatenate([np.zeros(min(k, c + 1)), sums[: max(c + 1 - k, 0)]])
+        ways /= k
+    return min(1.0, 2.0 * float(ways.sum()))
+
+
 def _each(fn, *series: pd.Series) -> pd.Series:
     """Apply a scalar tail over rows, keeping nulls and undefined inputs null."""
     rows = zip(*(s.astype("float64") for s in series))
@@ -100,21 +116,26 @@ def _each(fn, *series: pd.Series) -> pd.Series:
     )
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     return _each(t_two_sided_value, t, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def f_sf(f: pd.Series, d1: pd.Series, d2: pd.Series) -> pd.Series:
     return _each(f_sf_value, f, d1, d2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def chi2_sf(x: pd.Series, df: pd.Series) -> pd.Series:
     return _each(chi2_sf_value, x, df)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def normal_two_sided(z: pd.Series) -> pd.Series:
     return _each(normal_two_sided_value, z)
+
+
+@F.pandas_udf(DoubleType())
+def kendall_exact_p(n: pd.Series, inversions: pd.Series) -> pd.Series:
+    return pd.Series([kendall_exact_value(a, b) for a, b in zip(n, inversions)], dtype="float64")

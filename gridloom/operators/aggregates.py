@@ -169,12 +169,12 @@ def natural_keys(df: DataFrame, pair_columns: int = 10) -> DataFrame:
     """
     total = df.count()
     cols = df.columns
-    approx = df.agg(*[F.approx_count_distinct(c, 0.02).alias(c) for c in cols],
+    approx = df.agg(*[F.approx_count_distinct(c).alias(c) for c in cols],
                     *[F.count_if(F.col(c).isNull()).alias(f"_null_{c}") for c in cols]).first()
     whole = [c for c in cols if approx[f"_null_{c}"] == 0]
-    cand = [(c,) for c in whole if approx[c] >= 0.8 * total]
+    cand = [(c,) for c in whole if approx[c] >= 0.7 * total]
     cand += [p for p in combinations(cols[:pair_columns], 2)
-             if all(c in whole for c in p) and approx[p[0]] * approx[p[1]] >= 0.8 * total]
+             if all(c in whole for c in p) and approx[p[0]] * approx[p[1]] >= 0.7 * total]
     if not cand:
         return df.sparkSession.createDataFrame([], "columns string, n_columns bigint, n_distinct bigint, is_key boolean")
     hashed = df.select(F.explode(F.array(*[

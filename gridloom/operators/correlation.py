@@ -10,10 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.moments import k_squared
-from gridloom.functions.tails import chi2_sf, normal_two_sided, t_two_sided
+from gridloom.functions.tails import chi2_sf, kendall_exact_p, normal_two_sided, t_two_sided
+from gridloom.operators.filters import distinct_counts
 from gridloom.operators.hypothesis import benjamini_hochberg, chi_square_parts
+from gridloom.session import settle
 from gridloom.plans.ordered import average_ranks, running_before, value_counts
-from gridloom.plans.stacked import clean_number, numeric_columns, text_columns
+from gridloom.plans.stacked import clean_number, wide_to_rows
 
 MAX_NUMERIC, MAX_CATEGORY = 20, 10
 MIN_EFFECT = 0.3
@@ -47,17 +49,13 @@ def stars(p: Column) -> Column:
 
 def rank_numeric_candidates(df: DataFrame, cols: Sequence[str], limit: int = MAX_NUMERIC) -> DataFrame:
     """Columns by completeness x uniqueness x coefficient of variation, best first."""
-    rows = F.count(F.lit(1))
-    stats = df.agg(*[
-        F.struct(
-            F.lit(c).alias("column"), F.lit(i).alias("ord"),
-            (F.count(c) / rows * F.least(F.approx_count_distinct(c, 0.01) / rows, F.lit(1.0)) * F.least(
-                F.when(F.abs(F.avg(c)) > 1e-10, F.stddev_samp(c) / F.abs(F.avg(c))).otherwise(F.stddev_samp(c)),
-                F.lit(10.0))).alias("score"),
-        ).alias(f"_{i}") for i, c in enumerate(cols)
-    ])
-    long = stats.select(F.inline(F.array(*[f"_{i}" for i in range(len(cols))])))
-    return long.orderBy(F.desc("score"), "ord").limit(limit)
+    stats = wide_to_rows(df, cols, {
+        "ord": lambda c: F.first(F.lit(list(cols).index(c))), "rows": lambda c: F.count(F.lit(1)), "n": lambda c: F.count(c),
+        "cv": lambda c: F.when(F.abs(F.avg(c)) > 1e-10, F.stddev_samp(c) / F.abs(F.avg(c))).otherwise(F.stddev_samp(c)),
+    }).join(F.broadcast(distinct_counts(df, cols)), "column", "left")
+    unique = F.least(F.col("n_unique") / F.col("rows"), F.lit(1.0))
+    score = F.col("n") / F.col("rows") * unique * F.least("cv", F.lit(10.0))
+    return stats.withColumn("score", score).orderBy(F.desc("score"), "ord").limit(limit).select("column", F.round("score", 4).alias("score"))
 
 
 def _pack(rows: DataFrame, items: Sequence[Column]) -> DataFrame:
@@ -66,14 +64,16 @@ def _pack(rows: DataFrame, items: Sequence[Column]) -> DataFrame:
     return packed.select(F.inline(F.array(*[f"_{i}" for i in range(len(items))])))
 
 
-def pair_correlations(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+def pair_correlations(df: DataFrame, cols: Sequence[str], derived: bool = False) -> DataFrame:
     """Pearson, Spearman, pairwise n and column skew of every pair, in upper-triangle order.
 
     Pearson needs one aggregate. Columns without nulls share one ranking for Spearman; a pair with nulls is ranked
-    on its own complete rows.
+    on its own complete rows. ``derived`` says that ``df`` is itself costly to compute and should be kept once.
     """
     cols = list(cols)
     df = df.select(*[clean_number(c).alias(c) for c in cols])
+    if derived:
+        df = settle(df)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
     whole = [c for c in cols if nulls[c] == 0]
     ranked = attach_ranks(df, whole)
@@ -156,21 +156,49 @@ def kendall(df: DataFrame, x: str, y: str) -> DataFrame:
     return t.select(n.cast("bigint").alias("n"), tau.alias("tau"), (s / F.sqrt(var)).alias("z"))
 
 
+def small_kendall(df: DataFrame, pairs: Sequence[tuple[int, str, str]]) -> DataFrame:
+    """tau-b and p of pairs whose complete rows were counted to be fewer than 30.
+
+    The counted points of a pair meet each other on the pair's number (under 900 meetings per pair). Without ties p is
+    exact, else the tie-corrected normal approximation.
+    """
+    pts = df.select(F.explode(F.array(*[
+        F.struct(F.lit(i).alias("pair"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+        for i, a, b in pairs
+    ])).alias("s")).select("s.*").where("x IS NOT NULL AND y IS NOT NULL").groupBy("pair", "x", "y").agg(
+        F.count(F.lit(1)).cast("double").alias("n"))
+    o = pts.select("pair", F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("n").alias("n2"))
+    sign = F.signum(F.col("x") - F.col("x2")) * F.signum(F.col("y") - F.col("y2"))
+    each = pts.join(F.broadcast(o), "pair").groupBy("pair", "x", "y", "n").agg(
+        F.sum(F.col("n2") * sign).alias("s"), F.sum(F.when(F.col("x") == F.col("x2"), F.col("n2")).otherwise(0.0)).alias("tx"),
+        F.sum(F.when(F.col("y") == F.col("y2"), F.col("n2")).otherwise(0.0)).alias("ty"), F.sum("n2").alias("total"))
+    w = F.col("n")
+    def tie(c, factor):
+        t = F.col(c)
+        return F.sum(w * (t - 1) * factor(t))
+    g = each.groupBy("pair").agg(
+        F.max("total").alias("n"), (F.sum(w * F.col("s")) / 2).alias("s"),
+        tie("tx", lambda t: t * 0 + 1).alias("x2"), tie("ty", lambda t: t * 0 + 1).alias("y2"),
+        tie("tx", lambda t: 2 * t + 5).alias("x5"), tie("ty", lambda t: 2 * t + 5).alias("y5"),
+        tie("tx", lambda t: t - 2).alias("x3"), tie("ty", lambda t: t - 2).alias("y3"))
+    n = F.col("n")
+    var = ((n * (n - 1) * (2 * n + 5) - F.col("x5") - F.col("y5")) / 18 + F.col("x2") * F.col("y2") / (2 * n * (n - 1))
+           + F.col("x3") * F.col("y3") / (9 * n * (n - 1) * (n - 2)))
+    g = g.withColumn("tau", F.col("s") / F.sqrt((n * (n - 1) - F.col("x2")) / 2 * (n * (n - 1) - F.col("y2")) / 2))
+    g = g.withColumn("_z", F.col("s") / F.sqrt(var)).withColumn("_c", (n * (n - 1) / 2 - F.col("s")) / 2)
+    exact = (F.col("x2") == 0) & (F.col("y2") == 0)
+    return g.withColumn("_pe", kendall_exact_p("n", "_c")).withColumn("_pn", normal_two_sided("_z")).select(
+        "pair", "tau", F.when(exact, F.col("_pe")).otherwise(F.col("_pn")).alias("kendall_p"))
+
+
 def pair_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Per pair: primary method (Kendall below 30 rows, Spearman when skewed, else Pearson), p, adjusted p, labels."""
     pairs = pair_correlations(df, cols)
-    small = {}
-    for r in pairs.where((F.col("n") < 30) & (F.col("n") >= 5)).select("pair", "col_a", "col_b").collect():
-        small[r["pair"]] = kendall(df, r["col_a"], r["col_b"]).select(
-            F.lit(r["pair"]).alias("pair"), F.col("tau"), F.col("z")
-        )
+    small = [(r["pair"], r["col_a"], r["col_b"]) for r in pairs.where((F.col("n") < 30) & (F.col("n") >= 5)).select(
+        "pair", "col_a", "col_b").collect()]
     out = pairs.where((F.col("n") >= 5) & F.col("pearson").isNotNull())
     if small:
-        parts = list(small.values())
-        taus = parts[0]
-        for p in parts[1:]:
-            taus = taus.unionByName(p)
-        out = out.join(F.broadcast(taus), "pair", "left").withColumn("kendall_p", normal_two_sided("z"))
+        out = out.join(F.broadcast(small_kendall(df, small)), "pair", "left")
     else:
         out = out.withColumn("tau", F.lit(None).cast("double")).withColumn("kendall_p", F.lit(None).cast("double"))
     skewed = (F.col("skew_a") > 1) | (F.col("skew_b") > 1)
@@ -291,6 +319,7 @@ def residual_flags(df: DataFrame, row_id: str, x: str, y: str) -> DataFrame:
 def correlation_findings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairs with |r| > 0.3 and adjusted p < 0.05; Pearson when both columns look normal, else Spearman."""
     cols = list(cols)[:15]
+    df = settle(df.select(*cols))
     pairs = pair_correlations(df, cols)
     normal = _pack(df, [F.struct(F.lit(c).alias("column"), (F.exp(-k_squared(F.count(c), F.skewness(c), F.kurtosis(c)) / 2) > 0.05)
                                  .alias("normal")) for c in cols])
@@ -307,7 +336,3 @@ def correlation_findings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.round(F.abs("r") * 100, 1).alias("confidence"),
         F.when(F.abs("r") > 0.9, "very strongly").when(F.abs("r") > 0.7, "strongly").when(F.abs("r") > 0.5, "moderately")
         .otherwise("weakly").alias("strength"))
-
-
-def kinds(df: DataFrame) -> tuple[list[str], list[str]]:
-    return numeric_columns(df), text_columns(df)

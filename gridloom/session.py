@@ -5,7 +5,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(cores: str = "8", app: str = "gridloom") -> SparkSession:
@@ -44,3 +44,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions the session is configured for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+
+
+def settle(df: DataFrame) -> DataFrame:
+    """Compute a derived table once and keep it in the checkpoint folder, for plans that read it several times."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
