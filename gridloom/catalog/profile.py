@@ -223,7 +223,7 @@ def _(t):
 _HEALTH = """
 WITH f AS (SELECT count(*) AS n, count(*) * 5 - count(doc_id) - count(text) - count(lang) - count(source) - count(n_chars) AS nulls,
   bool_or(trim(text) <> text OR trim(lang) <> lang OR trim(source) <> source) AS ws FROM documents),
-dup AS (SELECT sum(c - 1)::BIGINT AS d FROM (SELECT count(*) AS c FROM documents GROUP BY ALL)),
+dup AS (SELECT sum(c - 1)::BIGINT AS d FROM (SELECT count(*) AS c FROM documents GROUP BY doc_id, text, lang, source, n_chars)),
 q AS (SELECT quantile_cont(n_chars, 0.25) AS q1, quantile_cont(n_chars, 0.75) AS q3, abs(skewness(n_chars)) AS s, abs(skewness(doc_id)) AS s2 FROM documents),
 o AS (SELECT count(*) AS o FROM documents, q WHERE n_chars < q1 - 1.5 * (q3 - q1) OR n_chars > q3 + 1.5 * (q3 - q1)),
 c AS (SELECT (count(DISTINCT doc_id) <= 1)::INT + (count(DISTINCT text) <= 1)::INT + (count(DISTINCT lang) <= 1)::INT + (count(DISTINCT source) <= 1)::INT + (count(DISTINCT n_chars) <= 1)::INT AS k FROM documents),
