@@ -222,7 +222,7 @@ def _dirty(t):
 
 @query("clean_dataset_aggressive", "CLN-01", f"""WITH {_MESSY}, d AS (SELECT *, CASE WHEN lower(trim(priority)) NOT IN ({_LIST(PLACEHOLDERS)}) THEN priority END AS prio FROM messy),
 mode AS (SELECT prio FROM d WHERE prio IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
-SELECT row_id, coalesce(d.prio, mode.prio) AS priority, replace(price_text[2:], ',', '')::DOUBLE AS price_text, replace(share_text, '%', '')::DOUBLE AS share_text, number_text::DOUBLE AS number_text,
+SELECT row_id, CASE coalesce(d.prio, mode.prio) WHEN '1-URGENT' THEN '1-Urgent' WHEN '2-HIGH' THEN '2-High' WHEN '3-MEDIUM' THEN '3-Medium' END AS priority, replace(price_text[2:], ',', '')::DOUBLE AS price_text, replace(share_text, '%', '')::DOUBLE AS share_text, number_text::DOUBLE AS number_text,
   CASE WHEN lower(trim(flag)) IN ({_LIST(TRUE_WORDS)}) THEN 'yes' ELSE 'no' END AS flag FROM d, mode""")
 def _(t):
     return clean_dataset(_dirty(t), "row_id").data.select("row_id", "priority", "price_text", "share_text", "number_text", "flag")

@@ -36,10 +36,15 @@ PLACEHOLDERS = [
 TRUE_WORDS = ["yes", "y", "true", "t", "1", "on", "oui", "si", "ja", "да"]
 FALSE_WORDS = ["no", "n", "false", "f", "0", "off", "non", "nein", "нет"]
 
-# Date formats in order of precedence.
+_Y, _M, _D, _NAME = r"\d{4}", r"(0?[1-9]|1[0-2])", r"(0?[1-9]|[12]\d|3[01])", r"[A-Za-z]{3,9}"
+
+# Date formats in order of precedence, each with the shape a text must have before it is parsed.
 DATE_FORMATS = [
-    "yyyy-MM-dd", "dd/MM/yyyy", "MM/dd/yyyy", "dd-MM-yyyy", "MM-dd-yyyy", "yyyy/MM/dd", "dd.MM.yyyy", "MM.dd.yyyy",
-    "MMMM d, yyyy", "d MMMM yyyy", "MMM d, yyyy", "d MMM yyyy", "yyyyMMdd",
+    ("yyyy-M-d", f"^{_Y}-{_M}-{_D}$"), ("d/M/yyyy", f"^{_D}/{_M}/{_Y}$"), ("M/d/yyyy", f"^{_M}/{_D}/{_Y}$"),
+    ("d-M-yyyy", f"^{_D}-{_M}-{_Y}$"), ("M-d-yyyy", f"^{_M}-{_D}-{_Y}$"), ("yyyy/M/d", f"^{_Y}/{_M}/{_D}$"),
+    ("d.M.yyyy", f"^{_D}[.]{_M}[.]{_Y}$"), ("M.d.yyyy", f"^{_M}[.]{_D}[.]{_Y}$"), ("MMMM d, yyyy", f"^{_NAME} {_D}, {_Y}$"),
+    ("d MMMM yyyy", f"^{_D} {_NAME} {_Y}$"), ("MMM d, yyyy", f"^{_NAME} {_D}, {_Y}$"), ("d MMM yyyy", f"^{_D} {_NAME} {_Y}$"),
+    ("yyyyMMdd", r"^\d{4}(0[1-9]|1[0-2])(0[1-9]|[12]\d|3[01])$"),
 ]
 
 # Name words of semantic columns.

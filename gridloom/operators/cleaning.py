@@ -112,6 +112,12 @@ def text_facts(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     })
 
 
+def titled(c: str | Column) -> Column:
+    """Every run of letters starts upper-case and goes on lower-case."""
+    runs = F.regexp_extract_all(F.col(c) if isinstance(c, str) else c, F.lit(r"(\p{L}+|[^\p{L}]+)"), F.lit(0))
+    return F.array_join(F.transform(runs, lambda r: F.concat(F.upper(F.substring(r, 1, 1)), F.lower(F.substr(r, F.lit(2))))), "")
+
+
 def title_case(df: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
     """Columns of which more than 70 % of the values are ALL-CAPS become Title Case."""
     cols = [c for c in text_columns(df) if c not in protected]
@@ -119,7 +125,7 @@ def title_case(df: DataFrame, protected: Sequence[str] = ()) -> DataFrame:
         return df
     share = df.agg(*[F.avg(is_upper(c).cast("int")).alias(c) for c in cols]).first()
     change = [c for c in cols if (share[c] or 0) > 0.7]
-    return df.withColumns({c: F.initcap(c) for c in change}) if change else df
+    return df.withColumns({c: titled(c) for c in change}) if change else df
 
 
 # --- semantic columns ------------------------------------------------------------------------------------------------
@@ -128,10 +134,10 @@ def _has_word(name: str, words: Sequence[str]) -> bool:
     return bool(set(re.split(r"[_\s]+", name)) & set(words))
 
 
-def parse_dates(c: str | Column, formats: Sequence[str] = tuple(DATE_FORMATS)) -> Column:
-    """First format that fits, in the fixed order of precedence."""
-    c = F.col(c) if isinstance(c, str) else c
-    return F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(f)) for f in formats]).cast("timestamp_ntz")
+def parse_dates(c: str | Column, formats: Sequence[tuple[str, str]] = tuple(DATE_FORMATS)) -> Column:
+    """First format that fits, in the fixed order of precedence; a text is only parsed where its shape fits."""
+    c = F.trim(F.col(c) if isinstance(c, str) else c)
+    return F.coalesce(*[F.when(c.rlike(shape), F.try_to_timestamp(c, F.lit(f))) for f, shape in formats]).cast("timestamp_ntz")
 
 
 def semantic_columns(df: DataFrame) -> dict[str, str]:
