@@ -76,7 +76,7 @@ SELECT c AS "column", CASE c WHEN 'price_text' THEN CASE WHEN sym > 0 THEN 'curr
 FROM (SELECT unnest(['priority', 'price_text', 'share_text', 'number_text', 'day_text', 'flag', 'word']) AS c), r""")
 def _(t):
     d = _messy(t)
-    return cl.type_decisions(cl.type_rates(d))
+    return cl.type_decisions(cl.type_rates(d)).drop("filled")
 
 
 @query("type_repair_values", "CLN-07 CLN-08 CLN-09 CLN-10", f"""WITH {_MESSY}

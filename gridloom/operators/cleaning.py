@@ -20,7 +20,7 @@ from gridloom.functions.patterns import (
 from gridloom.operators.aggregates import category_counts
 from gridloom.operators.filters import distinct_counts
 from gridloom.plans.ordered import grouped_quantiles, neighbourhood, with_position
-from gridloom.plans.stacked import numeric_columns, stack_numbers, text_columns, wide_to_rows
+from gridloom.plans.stacked import numeric_columns, stack_numbers, stack_text, text_columns, wide_to_rows
 
 
 # --- text and structure -------------------------------------------------------------------------------------------
@@ -189,19 +189,24 @@ def percent_value(c: str) -> Column:
 
 
 def type_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
-    """Shares of each text column's values that read as currency, percent, number or date (any format, and per format)."""
+    """Shares of each text column's values that read as currency, percent, number or date (any format, and per format).
+
+    All columns are stacked, so every test is one expression and every format is parsed once per value.
+    """
     cols = list(cols or text_columns(df))
-    share = lambda cond: F.coalesce(F.avg(cond.cast("int")), F.lit(0.0))
-    filled = lambda c, x: F.when(F.col(c).isNotNull(), x)
-    return wide_to_rows(df, cols, {
-        "filled": lambda c: F.count(c),
-        "currency": lambda c: share(filled(c, F.col(c).rlike(CURRENCY))), "currency_read": lambda c: share(filled(c, currency_value(c).isNotNull())),
-        "symbol": lambda c: share(filled(c, F.col(c).rlike(r"[€$£¥₹,]"))),
-        "percent": lambda c: share(filled(c, F.col(c).rlike(PERCENT))), "percent_read": lambda c: share(filled(c, percent_value(c).isNotNull())),
-        "number": lambda c: share(filled(c, F.trim(c).try_cast("double").isNotNull())),
-        "any_date": lambda c: share(filled(c, parse_dates(c).isNotNull())),
-        "date_formats": lambda c: sum((F.when(share(filled(c, parse_dates(c, [f]).isNotNull())) > 0.5, 1).otherwise(0) for f in DATE_FORMATS), F.lit(0)),
-    })
+    v = stack_text(df, cols).where("value IS NOT NULL")
+    fits = {f"f{i}": parse_dates("value", [fmt]).isNotNull() for i, fmt in enumerate(DATE_FORMATS)}
+    v = v.select("column", "value", *[c.alias(k) for k, c in fits.items()])
+    share = lambda cond: F.avg(cond.cast("int"))
+    any_date = reduce(lambda a, b: a | b, [F.col(k) for k in fits])
+    frequent = reduce(lambda a, b: a + b, [F.when(share(F.col(k)) > 0.5, 1).otherwise(0) for k in fits])
+    found = v.groupBy("column").agg(
+        F.count(F.lit(1)).alias("filled"), share(F.col("value").rlike(CURRENCY)).alias("currency"),
+        share(currency_value("value").isNotNull()).alias("currency_read"), share(F.col("value").rlike(r"[€$£¥₹,]")).alias("symbol"),
+        share(F.col("value").rlike(PERCENT)).alias("percent"), share(percent_value("value").isNotNull()).alias("percent_read"),
+        share(F.trim("value").try_cast("double").isNotNull()).alias("number"), share(any_date).alias("any_date"), frequent.alias("date_formats"))
+    every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
+    return every.join(found, "column", "left").na.fill(0)
 
 
 def type_decisions(rates: DataFrame) -> DataFrame:
@@ -211,7 +216,7 @@ def type_decisions(rates: DataFrame) -> DataFrame:
         F.when(F.col("filled") == 0, "text").when(money & (F.col("symbol") > 0), "currency").when(money, "number")
         .when((F.col("percent") >= 0.9) & (F.col("percent_read") > 0.9), "percent").when(F.col("number") > 0.9, "number")
         .when((F.col("date_formats") >= 2) & (F.col("any_date") > 0.8), "mixed_dates").when(F.col("any_date") > 0.9, "date").otherwise("text"))
-    return rates.select("column", target.alias("target"))
+    return rates.select("column", target.alias("target"), "filled")
 
 
 def retype(df: DataFrame, targets: dict[str, str]) -> DataFrame:

@@ -76,8 +76,7 @@ def clean_dataset(df: DataFrame, row_id: str, mode: str = "aggressive") -> Clean
     protected = [c for c, k in semantic.items() if k in PROTECTED]
     texts = [c for c in text_columns(data) if c not in protected and c != row_id]
     if texts:
-        rates = cl.type_rates(data, texts)
-        targets = {r["column"]: (r["target"], r["filled"]) for r in cl.type_decisions(rates).join(rates.select("column", "filled"), "column").collect()}
+        targets = {r["column"]: (r["target"], r["filled"]) for r in cl.type_decisions(cl.type_rates(data, texts)).collect()}
         for c, (t, n) in targets.items():
             if t != "text":
                 note("type_fix", c, t, n, "high")
