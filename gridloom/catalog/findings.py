@@ -100,16 +100,16 @@ _PROF = f"""WITH {_F}, p AS (SELECT *, (CASE WHEN m = '03' AND NOT (type = 'corr
  * CASE WHEN m = '05' AND NOT (type = 'correlation' AND price) THEN 0.25 ELSE 1 END * CASE WHEN type = 'correlation' THEN 0.35 ELSE 1 END)::DOUBLE AS fac FROM g)"""
 
 
-@query("insight_profile_penalties", "RNK-04", f"{_PROF} SELECT run_id, seq, fac < 1 AS profile_suppressed, round(confidence * fac, 4) AS new_confidence FROM p")
+@query("insight_profile_penalties", "RNK-04", f"{_PROF} SELECT run_id, seq, fac < 1 AS profile_suppressed, round(confidence * fac, 8) AS new_confidence FROM p")
 def _(t):
-    return rk.profile_penalties(_findings(t), _risks(t)).select("run_id", "seq", "profile_suppressed", F.round("new_confidence", 4).alias("new_confidence"))
+    return rk.profile_penalties(_findings(t), _risks(t)).select("run_id", "seq", "profile_suppressed", F.round("new_confidence", 8).alias("new_confidence"))
 
 
 @query("insight_penalty_gate", "RNK-05", f"""{_PROF}, h AS (SELECT run_id, count(*) AS findings, count(*) FILTER (fac < 1) AS penalised, max(confidence - confidence * fac) AS d FROM p GROUP BY 1)
-SELECT run_id, findings, penalised, round(penalised / findings, 4) AS share, round(d, 4) AS largest_drop,
+SELECT run_id, findings, penalised, round(penalised / findings, 4) AS share, round(d, 2) AS largest_drop,
  CASE WHEN penalised / findings >= 0.5 THEN 'too_many_penalised' WHEN d >= 60 THEN 'drop_too_large' ELSE 'ok' END AS verdict FROM h""")
 def _(t):
-    return rk.penalty_gate(rk.profile_penalties(_findings(t), _risks(t)))
+    return rk.penalty_gate(rk.profile_penalties(_findings(t), _risks(t))).withColumn("largest_drop", F.round("largest_drop", 2))
 
 
 _RR = f"{_PEN}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY (penalty IS NOT NULL)::INT, s2 DESC, seq) AS rank FROM z QUALIFY rank <= 15)"
