@@ -106,10 +106,10 @@ def _(t):
 
 
 @query("insight_penalty_gate", "RNK-05", f"""{_PROF}, h AS (SELECT run_id, count(*) AS findings, count(*) FILTER (fac < 1) AS penalised, max(confidence - confidence * fac) AS d FROM p GROUP BY 1)
-SELECT run_id, findings, penalised, round(penalised / findings, 4) AS share, round(d, 2) AS largest_drop,
+SELECT run_id, findings, penalised, round(penalised / findings, 4) AS share, round(d, 8) AS largest_drop,
  CASE WHEN penalised / findings >= 0.5 THEN 'too_many_penalised' WHEN d >= 60 THEN 'drop_too_large' ELSE 'ok' END AS verdict FROM h""")
 def _(t):
-    return rk.penalty_gate(rk.profile_penalties(_findings(t), _risks(t))).withColumn("largest_drop", F.round("largest_drop", 2))
+    return rk.penalty_gate(rk.profile_penalties(_findings(t), _risks(t))).withColumn("largest_drop", F.round("largest_drop", 8))
 
 
 _RR = f"{_PEN}, r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY (penalty IS NOT NULL)::INT, s2 DESC, seq) AS rank FROM z QUALIFY rank <= 15)"

@@ -137,7 +137,7 @@ def train_models(df: DataFrame, row_id: str, target: str, models: list[str] | No
         pipe = Pipeline(stages=[*feature_stages(p.numeric, p.categorical), model])
         if folds > 1:
             cv = CrossValidator(estimator=pipe, estimatorParamMaps=ParamGridBuilder().build(), evaluator=metric, numFolds=folds, parallelism=4, seed=42).fit(train)
-            fitted[name], cv_score, cv_std = cv.bestModel, cv.avgMetrics[0], cv.stdMetrics[0]
+            fitted[name], cv_score, cv_std = cv.bestModel, float(cv.avgMetrics[0]), float(cv.stdMetrics[0])
         else:
             fitted[name], cv_score, cv_std = pipe.fit(train), None, None
         out = fitted[name].transform(test)
@@ -148,6 +148,7 @@ def train_models(df: DataFrame, row_id: str, target: str, models: list[str] | No
         else:
             ev = lambda m: RegressionEvaluator(labelCol="label", metricName=m).evaluate(out)
             rows.append((name, None, None, None, ev("rmse"), ev("r2"), ev("mae"), cv_score, cv_std))
+    rows = [(r[0], *[None if v is None else float(v) for v in r[1:]]) for r in rows]
     schema = "name string, accuracy double, f1 double, auc double, rmse double, r2 double, mae double, cv_score double, cv_std double"
     board = df.sparkSession.createDataFrame(rows, schema)
     board = board.select("name", *[F.round(c, 4).alias(c) for c in board.columns[1:]]).orderBy(F.desc("cv_score"), "name")

@@ -185,7 +185,7 @@ def penalty_gate(penalised: DataFrame, max_share: float = 0.50, max_drop: float
         F.count(F.lit(1)).alias("findings"), F.count_if("profile_suppressed").alias("penalised"),
         F.max(safe_confidence() - F.col("new_confidence")).alias("drop"))
     share = F.col("penalised") / F.col("findings")
-    return g.select("run_id", "findings", "penalised", F.round(share, 4).alias("share"), F.round("drop", 4).alias("largest_drop"),
+    return g.select("run_id", "findings", "penalised", F.round(share, 4).alias("share"), F.col("drop").alias("largest_drop"),
                     F.when(share >= max_share, "too_many_penalised").when(F.col("drop") >= max_drop, "drop_too_large").otherwise("ok").alias("verdict"))
 
 

@@ -226,9 +226,9 @@ def running(
     outer = Window.partitionBy(*by_key).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
     summary = F.max_by(value, F.when(F.col(value).isNotNull(), F.col(pos))) if how == "last" else fn(value)
     blocks = cut.groupBy(*keys, "_run").agg(summary.alias("_s")).select(
-        *keys, "_run", fn("_s").over(outer).alias("_prev")
+        *keys, "_run", fn("_s").over(outer).alias("_before")
     )
-    here, prev = F.col("_here"), F.col("_prev")
+    here, prev = F.col("a._here"), F.col("b._before")
     joined = {
         "max": F.greatest(here, prev), "min": F.least(here, prev),
         "sum": F.coalesce(here, F.lit(0)) + F.coalesce(prev, F.lit(0)), "last": F.coalesce(here, prev),
