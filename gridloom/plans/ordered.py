@@ -20,6 +20,8 @@ from gridloom.session import shuffle_width
 
 MAX_BLOCKS = 2000
 ROWS_PER_BLOCK = 100_000
+# Keys that only hold column names or table sides, so their number is that of the columns.
+BOUNDED_KEYS = ("column", "side")
 
 
 def as_number(df: DataFrame, col: str) -> Column:
@@ -76,7 +78,7 @@ def running_before(
     )
     return (
         cut.withColumn("_in", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-        .join(offsets, [*keys, "_blk"])
+        .join(F.broadcast(offsets) if all(k in BOUNDED_KEYS for k in keys) else offsets, [*keys, "_blk"])
         .withColumn(before, F.col("_off") + F.col("_in"))
         .drop("_blk", "_in", "_off")
     )
@@ -120,8 +122,12 @@ def grouped_quantiles(
         _, lo, hi = rank_pair(p)
         wanted = wanted | holds(lo, "_off", "_w") | holds(hi, "_off", "_w")
     inner = Window.partitionBy(*keys, "_blk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+    hits = spans.where(wanted).drop("_w")
+    if all(k in BOUNDED_KEYS for k in keys):
+        # At most two blocks per probe and column: the rows of the other blocks are dropped where they are read.
+        hits = F.broadcast(hits)
     placed = (
-        cut.join(spans.where(wanted).drop("_w"), [*keys, "_blk"])
+        cut.join(hits, [*keys, "_blk"])
         .groupBy(*keys, "_blk", value, "_off", "_n").agg(size.alias("_w"))
         .withColumn("_at", F.col("_off") + F.coalesce(F.sum("_w").over(inner), F.lit(0)))
     )
@@ -175,7 +181,7 @@ def with_position(
     )
     return (
         cut.withColumn("_in", F.row_number().over(inner))
-        .join(offsets, [*keys, "_blk", "_sub"])
+        .join(offsets if keys else F.broadcast(offsets), [*keys, "_blk", "_sub"])
         .withColumn(pos, (F.col("_off") + F.col("_in")).cast("bigint"))
         .drop("_blk", "_sub", "_in", "_off")
     )
