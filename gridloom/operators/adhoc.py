@@ -40,14 +40,14 @@ def run_sql(df: DataFrame, sql: str, view: str = "data", max_rows: int = MAX_ROW
 
 def fetch_sql(df: DataFrame, sql: str, seconds: int = TIME_LIMIT_SECONDS) -> dict:
     """Run a query under the time limit; returns at most 500 rows and whether more were there."""
-    spark = df.sparkSession
+    jobs = df.sparkSession.sparkContext
     tag = f"adhoc-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, spark.interruptTag, [tag])
-    spark.addTag(tag)
+    timer = threading.Timer(seconds, jobs.cancelJobsWithTag, [tag])
+    jobs.addJobTag(tag)
     timer.start()
     try:
         rows = run_sql(df, sql).collect()
     finally:
         timer.cancel()
-        spark.removeTag(tag)
+        jobs.removeJobTag(tag)
     return {"rows": [r.asDict(recursive=True) for r in rows[:MAX_ROWS]], "truncated": len(rows) > MAX_ROWS}
