@@ -101,6 +101,6 @@ def test_classes_with_confidence(spark):
 
 
 def test_time_limit(spark):
-    slow = "SELECT count(*) AS n FROM data a, data b WHERE hash(a.id, b.id) % 1000003 = 7"
+    slow = "SELECT max(aggregate(sequence(1, 20000), 0D, (a, x) -> a + sin(x * id))) AS n FROM data"
     with pytest.raises(Exception):
         adhoc.fetch_sql(spark.range(3_000_000), slow, seconds=2)
