@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.feature import BucketedRandomProjectionLSH, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,7 @@ from gridloom.operators.cleaning import numeric_medians
 from gridloom.session import settle
 
 MAX_PREDICTORS, MAX_ROUNDS, TOLERANCE = 9, 15, 1e-3
-NEIGHBOURS = 5
+NEIGHBOURS, GRID_COLUMNS, MAX_REACH = 5, 3, 1e6
 
 
 def impute_chained(df: DataFrame, row_id: str, target: str, others: Sequence[str], rounds: int = MAX_ROUNDS) -> DataFrame:
@@ -49,46 +49,53 @@ def impute_chained(df: DataFrame, row_id: str, target: str, others: Sequence[str
     return df.join(filled, row_id).withColumn(target, F.coalesce(F.col(target).cast("double"), F.col("_fill"))).drop("_fill").select(*df.columns)
 
 
-def impute_nearest(df: DataFrame, row_id: str, target: str, others: Sequence[str], k: int = NEIGHBOURS, reach: float = 0.25) -> DataFrame:
+def impute_nearest(df: DataFrame, row_id: str, target: str, others: Sequence[str], k: int = NEIGHBOURS) -> DataFrame:
     """Distance-weighted mean of the ``k`` nearest rows that have the value.
 
-    Distances run over the other numbers, standardised, with their own nulls at the mean. Donor rows are first counted
-    per rounded position, so identical donors are one candidate with a weight; the reach doubles until every row has its
-    donors, so no row is left to a guess.
+    Distances run over the other numbers, standardised, with their own nulls at the mean. Equal donor positions are one
+    donor with a weight, equal seeker positions one seeker. Seekers meet donors in touching cells of a grid whose cells
+    are first so small that few donors share one; seekers that lack donors within the reach go on to the doubled reach,
+    so dense regions are settled in small cells and every fill is exact.
     """
     others = list(others)
     if not others:
         med = numeric_medians(df, [target])[target]
         return df.withColumn(target, F.coalesce(F.col(target).cast("double"), F.lit(med)))
-    s = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in others]).first()
+    s = df.agg(*[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.approx_count_distinct(c).alias("k")).alias(c) for c in others]).first()
     z = [F.coalesce((F.col(c) - s[c]["m"]) / (s[c]["s"] or 1.0), F.lit(0.0)).alias(f"_z{i}") for i, c in enumerate(others)]
     rows = df.select(row_id, F.col(target).cast("double").alias("_v"), *z)
     dims = [f"_z{i}" for i in range(len(others))]
+    grid = [dims[i] for i in sorted(range(len(others)), key=lambda i: -s[others[i]]["k"])[:GRID_COLUMNS]]
     donors = settle(rows.where("_v IS NOT NULL").groupBy(*dims).agg(F.count(F.lit(1)).alias("_w"), F.avg("_v").alias("_v")))
-    seekers = settle(rows.where("_v IS NULL").groupBy(*dims).agg(F.count(F.lit(1)).alias("_n")))
-    total = donors.agg(F.sum("_w")).first()[0] or 0
-    k = max(1, min(k, total - 1))
-    asm = VectorAssembler(inputCols=dims, outputCol="_x")
-    lsh = BucketedRandomProjectionLSH(inputCol="_x", outputCol="_h", bucketLength=2.0, numHashTables=4, seed=42).fit(asm.transform(donors))
-    open_, done = seekers, None
-    while True:
-        near = lsh.approxSimilarityJoin(asm.transform(open_), asm.transform(donors), reach, distCol="_d").select(
-            *[F.col(f"datasetA.{d}").alias(d) for d in dims], F.col("datasetB._v").alias("_v"), F.col("datasetB._w").alias("_w"), "_d")
+    open_ = settle(rows.where("_v IS NULL").select(*dims).distinct())
+    facts = donors.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("_w"), F.lit(0)).alias("w")).first()
+    k = max(1, min(k, facts["w"] - 1))
+    reach = max(1e-9, min(1.0, (8.0 * k / max(facts["n"], 1)) ** (1 / len(grid))))
+    done = None
+    while facts["n"] and not open_.isEmpty() and reach < MAX_REACH:
+        cells = [F.floor(F.col(g) / reach).alias(f"_c{i}") for i, g in enumerate(grid)]
+        keys = [f"_c{i}" for i in range(len(grid))]
+        asks = open_.select("*", *cells)
+        for c in keys:
+            asks = asks.withColumn(c, F.explode(F.array(F.col(c) - 1, F.col(c), F.col(c) + 1)))
+        gives = donors.select(*[F.col(d).alias(f"{d}_b") for d in dims], "_w", "_v", *cells)
+        gap = F.sqrt(sum((F.pow(F.col(d) - F.col(f"{d}_b"), F.lit(2)) for d in dims), F.lit(0.0)))
+        near = asks.join(gives, keys).withColumn("_d", gap).where(F.col("_d") <= reach)
         # The k best donors per seeker; the rank limit is applied before the shuffle.
         w = Window.partitionBy(*dims).orderBy("_d", "_v")
         best = near.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= k)
-        upto = Window.partitionBy(*dims).orderBy("_rn").rowsBetween(Window.unboundedPreceding, -1)
+        upto = w.rowsBetween(Window.unboundedPreceding, -1)
         best = best.withColumn("_use", F.greatest(F.lit(0), F.least("_w", k - F.coalesce(F.sum("_w").over(upto), F.lit(0)))))
         exact = F.max(F.when(F.col("_d") == 0, F.col("_v")))
         weight = F.col("_use") / F.greatest("_d", F.lit(1e-12))
-        got = settle(best.groupBy(*dims).agg(F.sum("_use").alias("_got"), F.coalesce(exact, F.sum(weight * F.col("_v")) / F.sum(weight)).alias("_fill")).where(
-            F.col("_got") >= k))
+        got = settle(best.groupBy(*dims).agg(
+            F.sum("_use").alias("_got"), F.coalesce(exact, F.sum(weight * F.col("_v")) / F.sum(weight)).alias("_fill")).where(F.col("_got") >= k).drop("_got"))
         done = got if done is None else done.unionByName(got)
         open_ = settle(open_.join(got, dims, "left_anti"))
-        if open_.isEmpty() or reach > 64:
-            break
         reach *= 2
+    med = numeric_medians(df, [target]).get(target)
+    if done is None:
+        return df.withColumn(target, F.coalesce(F.col(target).cast("double"), F.lit(med)))
     fills = rows.where("_v IS NULL").join(done, dims, "left").select(row_id, "_fill")
-    med = numeric_medians(df, [target])[target]
     return df.join(fills, row_id, "left").withColumn(
         target, F.coalesce(F.col(target).cast("double"), F.col("_fill"), F.lit(med))).drop("_fill").select(*df.columns)

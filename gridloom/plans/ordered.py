@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from gridloom.session import shuffle_width
 
-MAX_BLOCKS = 2000
+MAX_BLOCKS = 10_000
 ROWS_PER_BLOCK = 100_000
 # Keys that only hold column names or table sides, so their number is that of the columns.
 BOUNDED_KEYS = ("column", "side")
