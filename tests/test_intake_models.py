@@ -98,9 +98,3 @@ def test_classes_with_confidence(spark):
     assert m.labels == ["down", "up"] and m.leaderboard.first()["accuracy"] > 0.95
     assert automl.confusion_matrix(m).groupBy().sum("n").first()[0] == m.test.count()
     assert automl.prediction_sample(m, "id").count() == 20
-
-
-def test_time_limit(spark):
-    slow = "SELECT max(aggregate(sequence(1, 20000), 0D, (a, x) -> a + sin(x * id))) AS n FROM data"
-    with pytest.raises(Exception):
-        adhoc.fetch_sql(spark.range(3_000_000), slow, seconds=2)
