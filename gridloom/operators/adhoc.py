@@ -42,12 +42,13 @@ def fetch_sql(df: DataFrame, sql: str, seconds: int = TIME_LIMIT_SECONDS) -> dic
     """Run a query under the time limit; returns at most 500 rows and whether more were there."""
     jobs = df.sparkSession.sparkContext
     tag = f"adhoc-{uuid.uuid4().hex}"
-    timer = threading.Timer(seconds, jobs.cancelJobsWithTag, [tag])
-    jobs.addJobTag(tag)
+    timer = threading.Timer(seconds, jobs.cancelJobGroup, [tag])
+    jobs.setJobGroup(tag, "ad-hoc query", interruptOnCancel=True)
     timer.start()
     try:
         rows = run_sql(df, sql).collect()
     finally:
         timer.cancel()
-        jobs.removeJobTag(tag)
+        for name in ("spark.jobGroup.id", "spark.job.description", "spark.job.interruptOnCancel"):
+            jobs.setLocalProperty(name, None)
     return {"rows": [r.asDict(recursive=True) for r in rows[:MAX_ROWS]], "truncated": len(rows) > MAX_ROWS}

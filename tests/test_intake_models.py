@@ -98,3 +98,8 @@ def test_classes_with_confidence(spark):
     assert m.labels == ["down", "up"] and m.leaderboard.first()["accuracy"] > 0.95
     assert automl.confusion_matrix(m).groupBy().sum("n").first()[0] == m.test.count()
     assert automl.prediction_sample(m, "id").count() == 20
+
+
+def test_time_limit(spark):
+    with pytest.raises(Exception):
+        adhoc.fetch_sql(spark.range(0, 20_000_000_000, 1, 64), "SELECT sum(sin(id) * cos(id)) AS n FROM data", seconds=2)
