@@ -87,7 +87,7 @@ class ByteNetwork:
         flat /= (flat @ np.ones(flat.shape[1], np.float32))[:, None]
         return logits, trails
 
-    def fit(self, examples: list[tuple[str, bytes]], steps: int = 240, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteNetwork:
+    def fit(self, examples: list[tuple[str, bytes]], steps: int = 400, batch: int = 256, rate: float = 0.02, seed: int = 5) -> ByteNetwork:
         """Cross-entropy at every byte, Adam; languages and their segments are drawn evenly."""
         rng, of = np.random.default_rng(seed), {name: i for i, name in enumerate(self.languages)}
         pools = [np.concatenate([segments([t])[0] for name, t in examples if of[name] == k]) for k in range(len(self.languages))]
@@ -128,12 +128,12 @@ class ByteNetwork:
 
 
 def segments(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of SEGMENT symbols, the last of each text padded, and the first row of each (not empty) text."""
+    """Rows of SEGMENT symbols (bytes, A-Z as small ones), the last of each text padded, and the first row of each (not empty) text."""
     counts = np.array([-(-len(t) // SEGMENT) for t in texts])
     starts = np.concatenate([[0], np.cumsum(counts)])
     table = np.full(starts[-1] * SEGMENT, PAD, np.int64)
     for t, a in zip(texts, starts):
-        table[a * SEGMENT : a * SEGMENT + len(t)] = np.frombuffer(t, np.uint8)
+        table[a * SEGMENT : a * SEGMENT + len(t)] = np.frombuffer(t.lower(), np.uint8)
     return table.reshape(-1, SEGMENT), starts[:-1]
 
 
@@ -185,8 +185,9 @@ def language_report(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), network).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, at_least: float = 0.5) -> DataFrame:
-    """``docs`` without those that are rejected: no language found, or a pooled probability under ``at_least``."""
+def keep_identified(docs: DataFrame, at_least: float = 0.3) -> DataFrame:
+    """``docs`` without those that are rejected: no language found, or a pooled probability under ``at_least`` (which short
+    but clean texts still reach: with four languages none can be under a quarter)."""
     held_out = remainder(F.col("doc_id"), 3) == 1
     network = fit_languages(docs.filter(~held_out).select("doc_id", "text", "lang"))
     aside = docs.withColumnsRenamed({c: f"__kept_{c}" for c in docs.columns if c in ("lang_pred", "score")})
