@@ -7,7 +7,6 @@ from dataclasses import dataclass
 from statistics import NormalDist
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,8 +29,8 @@ class ProductCode:
 
     blocks: int = 2
     each: int = 64
-    listed: int = 12
-    least: int = 4
+    listed: int = 16
+    least: int = 8
     seed: int = 7
 
     def arrays(self, dims: int) -> tuple[np.ndarray, list[np.ndarray], float]:
@@ -108,43 +107,52 @@ def filter_rows(classes: DataFrame, code: ProductCode) -> DataFrame:
     return classes.select("cls", "label", "n", "embedding").mapInArrow(run, f"cls string, label {kind}, n long, embedding {of}, filters array<long>")
 
 
-def unit_rows(vectors: list) -> np.ndarray:
+def unit_rows(vectors: list | np.ndarray) -> np.ndarray:
     rows = np.array(vectors, dtype=np.float64)
     rows /= np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
-def linked(piece: pd.DataFrame, at_least: float) -> pd.DataFrame:
+def linked(piece: pa.Table, at_least: float) -> pa.Table:
     """Links inside one piece of a bucket: for each class the rows it links to, and an edge to the smallest class of its part.
 
     A pair that meets in several buckets counts only in the smallest filter the two share. Vectors of another length never link.
     """
-    here, a, b = piece["filter"].iloc[0], piece["a"].iloc[0], piece["b"].iloc[0]
-    out = []
-    for _, same in piece.groupby(piece["embedding"].map(len)):
-        unit = unit_rows(same["embedding"].tolist())
+    here, across = piece["filter"][0].as_py(), piece["a"][0] != piece["b"][0]
+    vectors, names, links, roots = piece["embedding"].combine_chunks(), [], [], []
+    sizes = np.diff(vectors.offsets.to_numpy())
+    for dims in np.unique(sizes):
+        rows = np.flatnonzero(sizes == dims)
+        unit = unit_rows(vectors.take(pa.array(rows)).flatten().to_numpy().reshape(len(rows), dims))
         near = unit @ unit.T >= at_least
         np.fill_diagonal(near, False)
-        if a != b:
-            block = same["block"].to_numpy()
+        if across:
+            block = piece["block"].to_numpy()[rows]
             near &= block[:, None] != block[None, :]
         who = np.flatnonzero(near.any(axis=1))
         if not len(who):
             continue
-        near, n, cls = near[np.ix_(who, who)], same["n"].to_numpy()[who], same["cls"].to_numpy()[who]
-        before = [[f for f in x if f < here] for x in same["filters"].to_numpy()[who]]
+        some = piece.select(["cls", "n", "filters"]).take(pa.array(rows[who]))
+        near, n, cls = near[np.ix_(who, who)], some["n"].to_numpy(), some["cls"].to_numpy()
+        before = [[f for f in x if f < here] for x in some["filters"].to_pylist()]
         known = {f: i for i, f in enumerate(sorted({f for x in before for f in x}))}
         member = np.zeros((len(who), len(known)), np.float32)
         for i, x in enumerate(before):
             member[i, [known[f] for f in x]] = 1
         new = near & (member @ member.T < 0.5) if known else near
-        root, changed = np.arange(len(who)), True
-        while changed:  # each step takes the smallest root among a vector's links
-            best = np.minimum(np.where(near, root[None, :], len(who)).min(axis=1), root)
-            changed = bool((best != root).any())
-            root = best
-        out.append(pd.DataFrame({"cls": cls, "links": new @ n, "root": cls[root]}))
-    return pd.concat(out) if out else pd.DataFrame({"cls": pd.Series(dtype=str), "links": pd.Series(dtype="int64"), "root": pd.Series(dtype=str)})
+        least, changed = np.argsort(np.argsort(cls)), True
+        order = np.sort(cls)
+        while changed:  # each step takes the smallest class among a vector's links
+            best = np.minimum(np.where(near, least[None, :], len(who)).min(axis=1), least)
+            changed = bool((best != least).any())
+            least = best
+        names.append(cls)
+        links.append(new @ n)
+        roots.append(order[least])
+    kinds = pa.schema([("cls", pa.string()), ("links", pa.int64()), ("root", pa.string())])
+    if not names:
+        return kinds.empty_table()
+    return pa.table([pa.array(np.concatenate(x), kind.type) for x, kind in zip((names, links, roots), kinds)], schema=kinds)
 
 
 def link_vectors(vectors: DataFrame, at_least: float = 0.98, code: ProductCode = ProductCode(), block: int = BLOCK) -> DataFrame:
@@ -169,7 +177,7 @@ def link_vectors(vectors: DataFrame, at_least: float = 0.98, code: ProductCode =
     mine = F.pmod(F.xxhash64("cls"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     pieces = met.withColumn("block", mine).withColumn("__other", other).select("label", "filter", "cls", "n", "embedding", "filters", "block", F.least("block", "__other").alias("a"), F.greatest("block", "__other").alias("b"))
-    found = settle(pieces.groupBy("label", "filter", "a", "b").applyInPandas(lambda piece: linked(piece, at_least), "cls string, links long, root string"))
+    found = settle(pieces.groupBy("label", "filter", "a", "b").applyInArrow(lambda piece: linked(piece, at_least), "cls string, links long, root string"))
     links = found.groupBy("cls").agg(F.sum("links").alias("links"))
     parts = components(found.filter("cls <> root").select(F.col("cls").alias("a"), F.col("root").alias("b")))
     rooted = classes.select("cls", "n", "least").join(parts.withColumnRenamed("node", "cls"), "cls", "left").join(links, "cls", "left").withColumn("root", F.coalesce("root", "cls"))

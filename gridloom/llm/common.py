@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +31,7 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.Record
 
 
 def text_sizes(texts: pa.Array) -> np.ndarray:
-    return np.asarray(pa.compute.fill_null(pa.compute.binary_length(texts), 0))
+    return np.asarray(pc.fill_null(pc.binary_length(texts), 0))
 
 
 def byte_texts(texts: pa.Array) -> list[bytes | None]:
