@@ -60,5 +60,6 @@ NAME_WORDS = {
         "wage",
     ],
 }
+# Semantic kinds whose columns are never retyped, and name parts of columns whose outliers are kept.
 PROTECTED = ["id", "phone", "postal", "sku", "account_number", "email", "ip_address"]
 PRESERVE_OUTLIERS = "(revenue|price|amount|value|cost|salary|income|sales|profit|spend|fee|charge)"

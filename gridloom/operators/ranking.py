@@ -34,7 +34,7 @@ ANALYSIS_TYPES = {
 }
 # Price columns that move together, beside the open-high-low-close names.
 PRICE_NAMES = ["open", "daylow", "dayhigh", "currentprice", "previousclose", "regularmarketprice", "fiftytwoweeklow", "fiftytwoweekhigh", "fiftydayaverage",
-               "twohundreddayaverage", "pricelatest", "sma50", "sma200", "pricevssma50pct", "pricevssma200pct"] + FINANCE_NAMES["ohlc_price"].split()
+               "twohundreddayaverage", "pricelatest", "sma50", "sma200", "pricevssma50pct", "pricevssma200pct"] + FINANCE_NAMES["ohlc_price"]
 IDENTIFIER_NAMES = ["ticker", "symbol", "shortname", "longname", "fundsymbol"]
 OPPORTUNITY = ["correlation", "segment", "leading_indicator", "concentration", "trend", "interaction"]
 RISK = ["anomaly", "data_quality", "multicollinearity", "simpsons_paradox", "missing_pattern"]
