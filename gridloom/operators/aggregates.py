@@ -59,18 +59,25 @@ def _pivot_cells(df: DataFrame, rows: Sequence[str], cols: Sequence[str], values
 
 
 def pivot(
-    df: DataFrame, rows: Sequence[str], cols: Sequence[str], values: str, agg: str = "sum", top_n: int = 20,
+    df: DataFrame, rows: Sequence[str], cols: Sequence[str], values: str, agg: str = "sum", top_n: int | None = None,
 ) -> DataFrame:
-    """Pivot table with margins computed from the raw rows; the ``top_n`` rows by grand total plus the total row."""
+    """Pivot table with margins computed from the raw rows: all rows, or the ``top_n`` by grand total, plus the total row.
+
+    Rows and columns of the data may have the margin's label: margins are known by what is rolled up (data labels are never
+    null), and such a data column is named with ``(data)`` behind it.
+    """
+    label = F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols])
+    rolled = F.col(cols[0]).isNull() if cols else F.lit(True)
     long = _pivot_cells(df, rows, cols, values, agg).select(
+        F.col(rows[0]).isNull().alias("_total"),
         *[F.coalesce(F.col(r).cast("string"), F.lit(GRAND_TOTAL)).alias(r) for r in rows],
-        (F.coalesce(F.concat_ws(" | ", *[F.col(c).cast("string") for c in cols]), F.lit("")) if cols
-         else F.lit("")).alias("_c"),
+        F.when(rolled, GRAND_TOTAL).when(label == GRAND_TOTAL, f"{GRAND_TOTAL} (data)").otherwise(label).alias("_c"),
         F.round("value", 4).alias("value"),
-    ).withColumn("_c", F.when(F.col("_c") == "", GRAND_TOTAL).otherwise(F.col("_c")))
-    wide = long.groupBy(*rows).pivot("_c").agg(F.first("value")).na.fill(0.0)
-    body = wide.where(F.col(rows[0]) != GRAND_TOTAL).orderBy(F.desc(GRAND_TOTAL), *rows).limit(top_n)
-    return body.unionByName(wide.where(F.col(rows[0]) == GRAND_TOTAL))
+    )
+    wide = long.groupBy("_total", *rows).pivot("_c").agg(F.first("value")).na.fill(0.0)
+    body = wide.where(~F.col("_total")).orderBy(F.desc(GRAND_TOTAL), *rows)
+    body = body if top_n is None else body.limit(top_n)
+    return body.unionByName(wide.where("_total")).drop("_total")
 
 
 def append_total(df: DataFrame, label: str, measures: Sequence[str]) -> DataFrame:

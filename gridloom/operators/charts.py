@@ -64,7 +64,7 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
     d = v.withColumn("_s", s)
     bins = F.when(F.col("_s.n") > 500, 12).when(F.col("_s.n") > 120, 10).otherwise(8)
     width = (F.col("_s.hi") - F.col("_s.lo")) / bins
-    at = F.least(F.floor((F.col("v") - F.col("_s.lo")) / width), bins - 1)
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_s.lo"), width)), F.lit(0)), bins - 1)
     h = d.groupBy(at.cast("bigint").alias("bin"), "_s").agg(F.count(F.lit(1)).alias("value")).withColumn("_q", q)
     centre = F.col("_s.lo") + (F.col("bin") + 0.5) * width
     iqr = F.col("_q.q3") - F.col("_q.q1")
@@ -130,7 +130,7 @@ def pooled_histogram(df: DataFrame, col: str, bins: int = 12) -> DataFrame:
     v = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL")
     s = v.agg(F.struct(F.min("v").alias("lo"), F.max("v").alias("hi"))).scalar()
     d = v.withColumn("_s", s)
-    at = F.least(F.floor((F.col("v") - F.col("_s.lo")) / ((F.col("_s.hi") - F.col("_s.lo")) / bins)), F.lit(bins - 1))
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_s.lo"), (F.col("_s.hi") - F.col("_s.lo")) / bins)), F.lit(0)), F.lit(bins - 1))
     return d.groupBy(at.cast("bigint").alias("bin")).agg(F.count(F.lit(1)).alias("value"))
 
 

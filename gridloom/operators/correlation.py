@@ -228,7 +228,8 @@ def partial_correlation(df: DataFrame, a: str, b: str, control: str) -> DataFram
     """Pearson r of ``a`` and ``b`` with one control held fixed, from three correlations on the complete rows."""
     rows = df.select(a, b, control).na.drop()
     m = rows.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("ab"), F.corr(a, control).alias("ac"), F.corr(b, control).alias("bc"))
-    part = (F.col("ab") - F.col("ac") * F.col("bc")) / F.sqrt((1 - F.col("ac") * F.col("ac")) * (1 - F.col("bc") * F.col("bc")))
+    held = (1 - F.col("ac") * F.col("ac")) * (1 - F.col("bc") * F.col("bc"))
+    part = F.when(held > 1e-12, (F.col("ab") - F.col("ac") * F.col("bc")) / F.sqrt(F.greatest(held, F.lit(0.0))))
     out = m.where("n >= 10").select(
         F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.lit(control).alias("control"), F.round("ab", 4).alias("full_r"),
         F.round(part, 4).alias("partial_r"),
@@ -276,7 +277,7 @@ def histogram_overlap(df: DataFrame, a: str, b: str, bins: int = 50) -> DataFram
     span = rows.agg(F.struct(F.least(F.min("a"), F.min("b")).alias("lo"), F.greatest(F.max("a"), F.max("b")).alias("hi"))).scalar()
     long = rows.unpivot([], ["a", "b"], "side", "v").withColumn("_s", span)
     width = (F.col("_s.hi") - F.col("_s.lo")) / bins
-    at = F.least(F.floor((F.col("v") - F.col("_s.lo")) / width), F.lit(bins - 1))
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_s.lo"), width)), F.lit(0)), F.lit(bins - 1))
     hist = long.groupBy(at.alias("bin")).agg(
         F.count_if(F.col("side") == "a").alias("na"), F.count_if(F.col("side") == "b").alias("nb"))
     total = rows.agg(F.count(F.lit(1))).scalar()

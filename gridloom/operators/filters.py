@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ast
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -77,15 +78,19 @@ def search(df: DataFrame, text: str) -> DataFrame:
 def page(df: DataFrame, sort: str, ties: str, number: int, per_page: int, descending: bool = False) -> DataFrame:
     """One page of the table sorted with nulls last, plus ``total_rows``, ``total_pages`` and the clamped ``page``.
 
-    Shallow pages are a bounded top-k; deep pages are cut out by row position, so no task sorts the whole table.
+    Shallow pages are a bounded top-k; deep pages are cut out by row position, nulls placed behind all values, so no task
+    sorts the whole table. Both give the same rows.
     """
     total = df.count()
     pages = max(1, -(-total // per_page))
     at = min(number, pages)
     start = (at - 1) * per_page
-    sortable = sort in numeric_columns(df) + date_columns(df)
+    sortable = {sort, ties} <= {*numeric_columns(df), *date_columns(df)}
     if start + per_page > DEEP_PAGE_ROWS and sortable:
-        placed = with_position(df.where(F.col(sort).isNotNull()), [], sort, ties, descending)
+        values = df.where(F.col(sort).isNotNull())
+        placed = with_position(values, [], sort, ties, descending)
+        blank = with_position(df.where(F.col(sort).isNull()), [], ties)
+        placed = placed.unionByName(blank.withColumn("pos", F.col("pos") + values.count()))
         rows = placed.where((F.col("pos") > start) & (F.col("pos") <= start + per_page)).drop("pos")
     else:
         order = F.col(sort).desc_nulls_last() if descending else F.col(sort).asc_nulls_last()
@@ -170,14 +175,26 @@ def column_kinds(df: DataFrame) -> DataFrame:
 
 
 def derive(df: DataFrame, name: str, formula: str) -> DataFrame:
-    """A column computed from a formula over columns, arithmetic and the allowed functions."""
+    """A column computed from a formula over columns, arithmetic and the allowed functions; a division by zero gives null."""
     called = set(re.findall(r"([A-Za-z_]\w*)\s*\(", formula))
     words = set(re.findall(r"[A-Za-z_]\w*", formula)) - called
     if not name.strip():
         raise ValueError("a feature needs a name")
     if called - FORMULA_FUNCTIONS or words - set(df.columns) - {"e"} or ";" in formula:
         raise ValueError(f"formula uses unknown names: {sorted((called - FORMULA_FUNCTIONS) | (words - set(df.columns)))}")
-    return df.withColumn(name, F.expr(re.sub(r"\blog\s*\(", "ln(", formula)))
+    return df.withColumn(name, F.expr(safe_division(re.sub(r"\blog\s*\(", "ln(", formula))))
+
+
+class _SafeDivision(ast.NodeTransformer):
+    def visit_BinOp(self, node: ast.BinOp) -> ast.AST:
+        self.generic_visit(node)
+        name = {ast.Div: "try_divide", ast.Mod: "try_mod"}.get(type(node.op))
+        return ast.Call(ast.Name(name), [node.left, node.right], []) if name else node
+
+
+def safe_division(formula: str) -> str:
+    """The formula with divisions that give null where the divisor is zero."""
+    return ast.unparse(_SafeDivision().visit(ast.parse(formula.strip(), mode="eval")))
 
 
 def reapply(df: DataFrame, features: Sequence[tuple[str, str]]) -> DataFrame:

@@ -49,9 +49,9 @@ def _two_groups(groups: DataFrame, group: str, fields: list[str]) -> DataFrame:
 
 
 def welch_parts(n1, m1, v1, n2, m2, v2) -> tuple[Column, Column]:
-    """t and its degrees of freedom from two groups' counts, means and variances."""
+    """t and its degrees of freedom from two groups' counts, means and variances; null if neither group varies."""
     e1, e2 = v1 / n1, v2 / n2
-    return (m1 - m2) / F.sqrt(e1 + e2), (e1 + e2) * (e1 + e2) / (e1 * e1 / (n1 - 1) + e2 * e2 / (n2 - 1))
+    return F.try_divide(m1 - m2, F.sqrt(e1 + e2)), F.try_divide((e1 + e2) * (e1 + e2), F.try_divide(e1 * e1, n1 - 1) + F.try_divide(e2 * e2, n2 - 1))
 
 
 def welch_ttest(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> DataFrame:
@@ -68,7 +68,7 @@ def welch_ttest(df: DataFrame, value: str, group: str, alpha: float = 0.05) -> D
 def paired_ttest(df: DataFrame, a: str, b: str, alpha: float = 0.05) -> DataFrame:
     diff = F.col(a) - F.col(b)
     m = df.agg(F.count(diff).cast("double").alias("n"), F.avg(diff).alias("m"), F.stddev_samp(diff).alias("s"))
-    m = m.withColumn("_t", F.col("m") / (F.col("s") / F.sqrt("n"))).withColumn("_dof", F.col("n") - 1)
+    m = m.withColumn("_t", F.try_divide(F.col("m"), F.col("s") / F.sqrt("n"))).withColumn("_dof", F.col("n") - 1)
     return _report(m, "paired_ttest", F.col("_t"), t_two_sided("_t", "_dof"),
                    F.when(F.col("s") > 0, F.col("m") / F.col("s")).otherwise(0.0), "cohens_d", alpha,
                    F.col("n").cast("bigint").alias("n"))

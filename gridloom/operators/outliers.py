@@ -32,8 +32,8 @@ def flag_outliers(df: DataFrame, col: str, stats: DataFrame) -> DataFrame:
     one = stats.select(F.struct("mean", "sd_pop", "z_threshold", "lower_fence", "upper_fence")).scalar()
     v = F.col(col).cast("double")
     d = df.where(F.col(col).isNotNull()).withColumn("_s", one)
-    z = (v - F.col("_s.mean")) / F.col("_s.sd_pop")
-    return d.withColumn("z_score", z).withColumn("zscore_flag", F.abs(z) > F.col("_s.z_threshold")).withColumn(
+    z = F.try_divide(v - F.col("_s.mean"), F.col("_s.sd_pop"))
+    return d.withColumn("z_score", z).withColumn("zscore_flag", F.coalesce(F.abs(z) > F.col("_s.z_threshold"), F.lit(False))).withColumn(
         "iqr_flag", (v < F.col("_s.lower_fence")) | (v > F.col("_s.upper_fence"))
     ).withColumn("combined_flag", F.col("zscore_flag") | F.col("iqr_flag")).withColumn(
         "pct_deviation", F.when(F.col("_s.mean") != 0, F.round((v - F.col("_s.mean")) / F.col("_s.mean") * 100, 1))
@@ -68,7 +68,7 @@ def outlier_histogram(df: DataFrame, col: str) -> DataFrame:
     v = df.select(F.col(col).cast("double").alias("v")).where(F.col("v").isNotNull()).withColumn("_s", s)
     bins = F.least(F.lit(20), F.greatest(F.lit(8), F.floor(F.col("_s.total_rows") / 20)))
     width = (F.col("_s.max") - F.col("_s.min")) / bins
-    at = F.least(F.floor((F.col("v") - F.col("_s.min")) / width), bins - 1)
+    at = F.least(F.coalesce(F.floor(F.try_divide(F.col("v") - F.col("_s.min"), width)), F.lit(0)), bins - 1)
     h = v.groupBy(at.cast("bigint").alias("bin"), "_s").agg(F.count(F.lit(1)).alias("value"))
     centre = F.col("_s.min") + (F.col("bin") + 0.5) * width
     from pyspark.sql import Window

@@ -65,12 +65,13 @@ def clean_dataset(df: DataFrame, row_id: str, mode: str = "aggressive") -> Clean
     if change:
         data = data.drop(*[b for b, _ in same])
     names = cl.unique_names([cl.snake_case(c) for c in data.columns])
-    for old, new in zip(data.columns, names):
+    renamed = dict(zip(data.columns, names))
+    for old, new in renamed.items():
         if old != new:
             note("rename", old, new, 1, "medium")
     if change:
         data = data.toDF(*names)
-        row_id = names[df.columns.index(row_id)] if row_id in df.columns and row_id not in names else row_id
+        row_id = renamed.get(row_id, row_id)
 
     semantic = cl.semantic_columns(data.drop(row_id))
     protected = [c for c, k in semantic.items() if k in PROTECTED]

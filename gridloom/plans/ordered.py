@@ -45,6 +45,7 @@ def block_edges(df: DataFrame, number: Column, blocks: int | None = None) -> lis
 
 
 def _cut(df: DataFrame, number: Column, edges: Sequence[float], out: str) -> DataFrame:
+    edges = [v for v in edges if math.isfinite(v)]  # infinite values fall into the outermost blocks
     splits = sorted(set(edges))
     frequent = [a for a, b in zip(edges, edges[1:]) if a == b]
     splits = sorted(set(splits) | {math.nextafter(v, math.inf) for v in frequent})

@@ -25,9 +25,9 @@ def get_session(cores: str = "8", app: str = "gridloom") -> SparkSession:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a temporary one only where none is named.
+    """Return the session's checkpoint folder, setting a temporary one only in local mode and where none is named.
 
-    A cluster names a shared folder in ``spark.checkpoint.dir``; a single-machine test run has none.
+    A cluster names a shared folder in ``spark.checkpoint.dir``: executors don't share a temporary one, so it is refused there.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
@@ -36,6 +36,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(named)
         return named
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="gridloom-ckpt-")
         spark.sparkContext.setCheckpointDir(current)
     return current
