@@ -33,7 +33,7 @@ g AS (SELECT *, type || ' in ' || m AS title, CASE WHEN type = 'correlation' THE
 @query("insight_rank_cap", "RNK-02 RNK-03", f"""WITH {_F}, u AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY run_id, type, key ORDER BY score DESC, seq) = 1)
 SELECT run_id, seq, title, round(score, 6) AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS rank FROM u QUALIFY rank <= 15""")
 def _(t):
-    return rk.rank_findings(_findings(t)).select("run_id", "seq", "title", F.round("score", 6).alias("score"), "rank")
+    return rk.rank_findings(_findings(t), limit=rk.CAP).select("run_id", "seq", "title", F.round("score", 6).alias("score"), "rank")
 
 
 @query("insight_dedupe", "RNK-02", f"WITH {_F} SELECT run_id, seq, type FROM g QUALIFY row_number() OVER (PARTITION BY run_id, type, key ORDER BY seq) = 1")
@@ -87,7 +87,7 @@ def _penalised(t):
 
 @query("insight_rerank", "RNK-04", f"{_PEN} SELECT run_id, seq, row_number() OVER (PARTITION BY run_id ORDER BY (penalty IS NOT NULL)::INT, s2 DESC, seq) AS rank FROM z QUALIFY rank <= 15")
 def _(t):
-    return rk.rerank(_penalised(t)).select("run_id", "seq", "rank")
+    return rk.rerank(_penalised(t), limit=rk.CAP).select("run_id", "seq", "rank")
 
 
 def _risks(t):
@@ -120,7 +120,7 @@ s AS (SELECT run_id, rank, title, 'opportunity' AS side, 4 AS room FROM e WHERE
  UNION ALL SELECT run_id, rank, title, 'risk', 4 FROM e WHERE type IN ('anomaly', 'data_quality') AND severity <> 'low' UNION ALL SELECT run_id, rank, title, 'action', 5 FROM e)
 SELECT run_id, side, row_number() OVER (PARTITION BY run_id, side ORDER BY rank) AS place, title FROM s QUALIFY place <= room""")
 def _(t):
-    return rk.executive_split(rk.rerank(_penalised(t)))
+    return rk.executive_split(rk.rerank(_penalised(t), limit=rk.CAP))
 
 
 @query("insight_selection_counters", "RNK-07", f"""{_RR}, a AS (SELECT run_id, count(*) AS candidates, count(*) FILTER (penalty IS NOT NULL) AS suppressed_candidates FROM z GROUP BY 1)
@@ -128,7 +128,7 @@ SELECT run_id, any_value(candidates) AS candidates, any_value(suppressed_candida
  count(*) FILTER (penalty IS NULL AND c2 >= 50) AS eligible_visible FROM r JOIN a USING (run_id) GROUP BY 1""")
 def _(t):
     p = _penalised(t)
-    return rk.selection_counters(p, rk.rerank(p))
+    return rk.selection_counters(p, rk.rerank(p, limit=rk.CAP))
 
 
 _IDS = f"""{_RR}, i AS (SELECT *, CASE WHEN type = 'correlation' THEN CASE WHEN price THEN 'Open|dayHigh' ELSE 'dayHigh|m' || CASE WHEN m = '02' THEN '_02' ELSE m END END
@@ -139,7 +139,7 @@ d AS (SELECT *, CASE WHEN rn = 1 THEN bid ELSE bid || '_' || rn END AS insight_i
 
 @query("insight_ids", "RNK-07", f"{_IDS} SELECT run_id, seq, insight_id, report_safe FROM d")
 def _(t):
-    return rk.finding_ids(rk.rerank(_penalised(t))).select("run_id", "seq", "insight_id", "report_safe")
+    return rk.finding_ids(rk.rerank(_penalised(t), limit=rk.CAP)).select("run_id", "seq", "insight_id", "report_safe")
 
 
 @query("insight_default_selection", "RNK-07", f"""{_IDS}, c AS (SELECT *, count(*) FILTER (report_safe) OVER w AS ns, count(*) FILTER (type <> 'data_quality' AND severity <> 'low') OVER w AS ng FROM d WINDOW w AS (PARTITION BY run_id)),
@@ -148,7 +148,7 @@ t AS (SELECT *, CASE WHEN ns > 0 AND report_safe THEN 0 WHEN type <> 'data_quali
 SELECT run_id, row_number() OVER (PARTITION BY run_id ORDER BY tier, CASE WHEN tier IN (0, 3) THEN 0 ELSE sv END, rank) AS place, insight_id FROM t
 QUALIFY place <= CASE WHEN ns > 0 THEN greatest(least(ns, 5), 3) WHEN ng = 0 THEN 5 ELSE greatest(least(ng, 5), 3) END""")
 def _(t):
-    return rk.default_selection(rk.finding_ids(rk.rerank(_penalised(t))))
+    return rk.default_selection(rk.finding_ids(rk.rerank(_penalised(t), limit=rk.CAP)))
 
 
 # --- snapshot pack: parts as assets -----------------------------------------------------------------------------------------
@@ -213,7 +213,7 @@ def _(t):
 
 @query("chart_pie", "CHT-03", """SELECT coalesce(toxic::VARCHAR, '(missing)') AS name, count(*) AS value, round(count(*) / (SELECT count(*) FROM documents) * 100, 1) AS pct FROM documents LEFT JOIN labels USING (doc_id) GROUP BY 1""")
 def _(t):
-    return ch.shares(t.documents.join(t.labels, "doc_id", "left"), "toxic")
+    return ch.shares(t.documents.join(t.labels, "doc_id", "left"), "toxic", 8)
 
 
 @query("chart_scatter_sample", "CHT-04")
@@ -227,7 +227,7 @@ j AS (SELECT q.*, value AS v, q1 - 1.5 * (q3 - q1) AS lo, q3 + 1.5 * (q3 - q1) A
 SELECT name, any_value(n) AS n, round(min(v) FILTER (v >= lo), 4) AS min, round(any_value(q1), 4) AS q1, round(any_value(med), 4) AS median, round(any_value(q3), 4) AS q3, round(max(v) FILTER (v <= hi), 4) AS max,
  least(20, count(*) FILTER (v < lo OR v > hi)) AS n_outliers, round(min(v) FILTER (v < lo OR v > hi), 4) AS lowest_outlier FROM j GROUP BY 1""")
 def _(t):
-    return ch.box_whiskers(t.events, "event_type", "value")
+    return ch.box_whiskers(t.events, "event_type", "value", ch.MAX_BOX_OUTLIERS)
 
 
 _H = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -280,4 +280,4 @@ z AS (SELECT *, CASE WHEN x = 'm01' AND type <> 'line' THEN b * 0.4 ELSE b + CAS
 @query("chart_candidates_ranked", "CHT-08", f"""WITH {_CH}, u AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY run_id, type, x ORDER BY score DESC, seq) = 1)
 SELECT run_id, seq, type, round(score, 4) AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS rank FROM u QUALIFY rank <= 10""")
 def _(t):
-    return ch.rank_charts(ch.chart_scores(_charts(t), _chart_plan(t))).select("run_id", "seq", "type", F.round("score", 4).alias("score"), "rank")
+    return ch.rank_charts(ch.chart_scores(_charts(t), _chart_plan(t)), ch.MAX_CHARTS).select("run_id", "seq", "type", F.round("score", 4).alias("score"), "rank")

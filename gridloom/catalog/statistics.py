@@ -162,7 +162,7 @@ def _(t):
 
 @query("corr_candidates_lineitem", "STA-10")
 def _(t):
-    return cor.rank_numeric_candidates(t.lineitem, [*_LI, "l_partkey", "l_suppkey", "l_linenumber"])
+    return cor.rank_numeric_candidates(t.lineitem, [*_LI, "l_partkey", "l_suppkey", "l_linenumber"], cor.MAX_NUMERIC)
 
 
 def _pair_p(r, n):
@@ -466,7 +466,7 @@ q AS (SELECT pair, col_a, col_b, moderator, max(r) - min(r) AS rg, arg_max(grp,
 SELECT col_a, col_b, moderator, round(rg, 4) AS r_range, max_group, min_group, CASE WHEN rg > 0.5 THEN 'high' ELSE 'medium' END AS severity,
   round(least(90, 60 + rg * 60), 1) AS confidence FROM q WHERE rg > 0.3 ORDER BY abs(overall_r) DESC, moderator LIMIT 3""")
 def _(t):
-    return det.interaction_effects(_moderated(t))
+    return det.interaction_effects(_moderated(t), pairs=3, top=3)
 
 
 _SIMP = """WITH d AS (SELECT l_returnflag AS rf, l_linestatus AS ls, l_quantity AS a, l_quantity * (CASE l_returnflag WHEN 'A' THEN -1 WHEN 'N' THEN -1 ELSE 5 END) + l_discount AS b FROM lineitem),

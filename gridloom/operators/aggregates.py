@@ -168,8 +168,8 @@ def duplicate_summary(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     )
 
 
-def natural_keys(df: DataFrame, pair_columns: int = 10) -> DataFrame:
-    """Candidate keys: every single column, then pairs among the first ten, with distinct counts.
+def natural_keys(df: DataFrame, pair_columns: int | None = None) -> DataFrame:
+    """Candidate keys: every single column, then pairs (of the first ``pair_columns``, if given), with distinct counts.
 
     Pairs whose two columns cannot reach the row count (product of approximate distinct counts) are ruled out before
     the exact count.
@@ -185,7 +185,7 @@ def natural_keys(df: DataFrame, pair_columns: int = 10) -> DataFrame:
     if not cand:
         return df.sparkSession.createDataFrame([], "columns string, n_columns bigint, n_distinct bigint, is_key boolean")
     hashed = df.select(F.explode(F.array(*[
-        F.struct(F.lit(i).alias("k"), F.concat_ws("\x1f", *[F.col(c).cast("string") for c in p]).alias("v"))
+        F.struct(F.lit(i).alias("k"), F.array(*[F.col(c).cast("string") for c in p]).alias("v"))
         for i, p in enumerate(cand)
     ])).alias("s")).select("s.k", "s.v").distinct().groupBy("k").agg(F.count(F.lit(1)).alias("n_distinct"))
     names = F.array(*[F.lit(",".join(p)) for p in cand])

@@ -27,7 +27,7 @@ def top_values(df: DataFrame, col: str, n: int) -> DataFrame:
 # --- series, histogram, category, scatter, box and heat-map points -----------------------------------------------------
 
 MAX_CHARTS = 10
-MAX_SCATTER, MAX_BOX_GROUPS, MAX_BOX_OUTLIERS, MAX_HEAT = 300, 12, 20, 8
+MAX_SCATTER, MAX_BOX_OUTLIERS = 300, 20
 # Name parts of columns that are never drawn over time.
 BLOCKED_OVER_TIME = ["previous_accident", "prior_accident", "num_accident", "accident_count", "num_dependents", "number_of_dependents",
                      "number_of_children", "family_size", "household_size", "vehicle_year", "model_year"]
@@ -72,11 +72,12 @@ def histogram(df: DataFrame, col: str) -> DataFrame:
                     ((centre < F.col("_q.q1") - 1.5 * iqr) | (centre > F.col("_q.q3") + 1.5 * iqr)).alias("is_anomaly_bin"))
 
 
-def shares(df: DataFrame, col: str, most: int = 8) -> DataFrame:
-    """Counts and shares of a column with two to ``most`` values (pie and binary bars); nulls count as "(missing)"."""
+def shares(df: DataFrame, col: str, most: int | None = None) -> DataFrame:
+    """Counts and shares of a column with two values or more (nothing beyond ``most`` values, if given: pie and binary bars); nulls
+    count as "(missing)"."""
     c = df.groupBy(F.coalesce(F.col(col).cast("string"), F.lit("(missing)")).alias("name")).agg(F.count(F.lit(1)).alias("value"), F.count(col).alias("_f"))
     t = c.agg(F.struct(F.sum("value").alias("n"), F.count_if(F.col("_f") > 0).alias("k"))).scalar()
-    return c.withColumn("_t", t).where((F.col("_t.k") >= 2) & (F.col("_t.k") <= most)).select("name", "value", F.round(F.col("value") / F.col("_t.n") * 100, 1).alias("pct"))
+    return c.withColumn("_t", t).where((F.col("_t.k") >= 2) & (F.col("_t.k") <= most if most is not None else F.lit(True))).select("name", "value", F.round(F.col("value") / F.col("_t.n") * 100, 1).alias("pct"))
 
 
 def scatter_sample(df: DataFrame, row_id: str, x: str, y: str, n: int = MAX_SCATTER) -> DataFrame:
@@ -86,8 +87,9 @@ def scatter_sample(df: DataFrame, row_id: str, x: str, y: str, n: int = MAX_SCAT
     return residual_flags(df, row_id, x, y).orderBy(F.xxhash64(F.col(row_id), F.lit(42)), row_id).limit(n)
 
 
-def box_whiskers(df: DataFrame, cat: str, num: str) -> DataFrame:
-    """Quartiles, whiskers inside the 1.5 IQR fences and up to 20 outliers for 2 to 12 groups of four rows up."""
+def box_whiskers(df: DataFrame, cat: str, num: str, most_outliers: int | None = None) -> DataFrame:
+    """Quartiles, whiskers inside the 1.5 IQR fences and outliers (the ``most_outliers`` lowest, if given; else their number and
+    the lowest one, so no list grows with the data) for two groups or more of four rows up."""
     from pyspark.sql import Window
 
     from gridloom.plans.ordered import grouped_quantiles
@@ -95,22 +97,22 @@ def box_whiskers(df: DataFrame, cat: str, num: str) -> DataFrame:
     rows = df.select(F.col(cat).cast("string").alias("name"), F.col(num).cast("double").alias("v")).where("name IS NOT NULL AND v IS NOT NULL")
     q = grouped_quantiles(rows, ["name"], "v", {"q1": 0.25, "median": 0.5, "q3": 0.75}).where("n >= 4")
     groups = rows.agg(F.count_distinct("name")).scalar()
-    q = q.withColumn("_g", groups).where(F.col("_g").between(2, MAX_BOX_GROUPS)).drop("_g")
+    q = q.withColumn("_g", groups).where(F.col("_g") >= 2).drop("_g")
     iqr = F.col("q3") - F.col("q1")
     lo, hi = F.col("q1") - 1.5 * iqr, F.col("q3") + 1.5 * iqr
-    # At most twelve groups are broadcast.
-    j = rows.join(F.broadcast(q), "name")
+    j = rows.join(q, "name")
     ends = j.groupBy("name").agg(F.min(F.when(F.col("v") >= lo, F.col("v"))).alias("min"), F.max(F.when(F.col("v") <= hi, F.col("v"))).alias("max"))
-    out = j.where((F.col("v") < lo) | (F.col("v") > hi)).withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("v"))).where(
-        F.col("_r") <= MAX_BOX_OUTLIERS).groupBy("name").agg(F.array_sort(F.collect_list(F.round("v", 4))).alias("outliers"))
+    far = j.where((F.col("v") < lo) | (F.col("v") > hi))
+    if most_outliers is not None:
+        far = far.withColumn("_r", F.row_number().over(Window.partitionBy("name").orderBy("v"))).where(F.col("_r") <= most_outliers)
+    out = far.groupBy("name").agg(F.count(F.lit(1)).alias("_far"), F.min("v").alias("_low"))
     return q.join(ends, "name").join(out, "name", "left").select(
         "name", "n", *[F.round(c, 4).alias(c) for c in ("min", "q1", "median", "q3", "max")],
-        F.coalesce(F.size("outliers"), F.lit(0)).cast("bigint").alias("n_outliers"), F.round(F.get("outliers", F.lit(0)), 4).alias("lowest_outlier"))
+        F.coalesce("_far", F.lit(0)).cast("bigint").alias("n_outliers"), F.round("_low", 4).alias("lowest_outlier"))
 
 
 def heat_map(df: DataFrame, cols: list[str]) -> DataFrame:
-    """Pearson r of every pair of up to eight columns on the complete rows, both ways round."""
-    cols = cols[:MAX_HEAT]
+    """Pearson r of every pair of columns on the complete rows, both ways round."""
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
     p = d.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.round(F.corr(a, b), 3), F.lit(0.0)).alias("value")).alias(f"_{i}")
@@ -155,12 +157,12 @@ def chart_scores(charts: DataFrame, plan: DataFrame) -> DataFrame:
     return j.withColumn("score", F.when(F.col("ign"), F.col("score") * 0.4).otherwise(F.col("score") + boost)).drop("ign", "target", "dimension", "time")
 
 
-def rank_charts(charts: DataFrame, limit: int = MAX_CHARTS) -> DataFrame:
-    """The best chart per (type, title, axes) of every run, the ten best by score."""
+def rank_charts(charts: DataFrame, limit: int | None = None) -> DataFrame:
+    """The best chart per (type, title, axes) of every run, by score: all, or the first ``limit``."""
     from pyspark.sql import Window
 
     row = F.struct(*charts.columns)
     one = charts.groupBy("run_id", "type", F.lower(F.trim("title")).alias("_t"), "x_label", "y_label").agg(
         F.min_by(row, F.struct(-F.col("score"), F.col("seq"))).alias("_r")).select("_r.*")
     w = Window.partitionBy("run_id").orderBy(F.desc("score"), "seq")
-    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
+    return one.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit if limit is not None else F.lit(True)).withColumn("rank", F.col("rank").cast("bigint"))

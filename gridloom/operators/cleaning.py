@@ -287,7 +287,7 @@ def missingness_mechanism(df: DataFrame, row_id: str, cols: Sequence[str] | None
         F.struct(
             F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing"), F.count(c).alias("filled"),
             F.array(*[F.corr(F.col(c).isNull().cast("double"), F.coalesce(F.col(o).cast("double"), F.lit(med[o])))
-                      for o in [n for n in nums if n != c][:15]] or [F.lit(None).cast("double")]).alias("rs"),
+                      for o in nums if o != c] or [F.lit(None).cast("double")]).alias("rs"),
             (F.corr(F.when(F.col(f"_prev_{c}").isNotNull(), F.col(c).isNull().cast("double")), F.col(f"_prev_{c}").cast("double"))
              if c in own else F.lit(None).cast("double")).alias("self"),
         ).alias(f"_{i}") for i, c in enumerate(cols)])

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from gridloom.plans.ordered import grouped_quantiles
 from gridloom.plans.stacked import numeric_columns, stack_numbers
 
-MAX_COMPARED = 15
 BINS = 11
 
 
@@ -19,8 +18,8 @@ def _side(df: DataFrame, cols: Sequence[str], tag: str) -> DataFrame:
 
 
 def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Mean, std and median of both sides and the change flag for shared numeric columns (15 at most)."""
-    cols = [c for c in sorted(set(numeric_columns(a)) & set(numeric_columns(b)))][:MAX_COMPARED]
+    """Mean, std and median of both sides and the change flag for all shared numeric columns."""
+    cols = sorted(set(numeric_columns(a)) & set(numeric_columns(b)))
     both = _side(a, cols, "a").unionByName(_side(b, cols, "b"))
     moments = both.groupBy("column", "side").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
     medians = grouped_quantiles(both, ["column", "side"], "value", {"median": 0.5}).drop("n")

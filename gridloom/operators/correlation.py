@@ -47,15 +47,20 @@ def stars(p: Column) -> Column:
     return F.when(p < 0.001, "***").when(p < 0.01, "**").when(p < 0.05, "*").otherwise("ns")
 
 
-def rank_numeric_candidates(df: DataFrame, cols: Sequence[str], limit: int = MAX_NUMERIC) -> DataFrame:
+def best_first(scored: DataFrame, limit: int | None) -> DataFrame:
+    ordered = scored.orderBy(F.desc("score"), "ord")
+    return ordered if limit is None else ordered.limit(limit)
+
+
+def rank_numeric_candidates(df: DataFrame, cols: Sequence[str], limit: int | None = None) -> DataFrame:
     """Columns by completeness x uniqueness x coefficient of variation, best first."""
     stats = wide_to_rows(df, cols, {
         "ord": lambda c: F.first(F.lit(list(cols).index(c))), "rows": lambda c: F.count(F.lit(1)), "n": lambda c: F.count(c),
         "cv": lambda c: F.when(F.abs(F.avg(c)) > 1e-10, F.stddev_samp(c) / F.abs(F.avg(c))).otherwise(F.stddev_samp(c)),
     }).join(F.broadcast(distinct_counts(df, cols)), "column", "left")
-    unique = F.least(F.col("n_unique") / F.col("rows"), F.lit(1.0))
-    score = F.col("n") / F.col("rows") * unique * F.least("cv", F.lit(10.0))
-    return stats.withColumn("score", score).orderBy(F.desc("score"), "ord").limit(limit).select("column", F.round("score", 4).alias("score"))
+    unique = F.least(F.try_divide(F.col("n_unique"), F.col("rows")), F.lit(1.0))
+    score = F.try_divide(F.col("n"), F.col("rows")) * unique * F.least("cv", F.lit(10.0))
+    return best_first(stats.withColumn("score", score), limit).select("column", F.round("score", 4).alias("score"))
 
 
 def _pack(rows: DataFrame, items: Sequence[Column]) -> DataFrame:
@@ -319,7 +324,7 @@ def residual_flags(df: DataFrame, row_id: str, x: str, y: str) -> DataFrame:
 
 def correlation_findings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Pairs with |r| > 0.3 and adjusted p < 0.05; Pearson when both columns look normal, else Spearman."""
-    cols = list(cols)[:15]
+    cols = list(cols)
     df = settle(df.select(*cols))
     pairs = pair_correlations(df, cols)
     normal = _pack(df, [F.struct(F.lit(c).alias("column"), (F.exp(-k_squared(F.count(c), F.skewness(c), F.kurtosis(c)) / 2) > 0.05)

@@ -6,6 +6,7 @@ import ast
 import re
 from collections.abc import Sequence
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -210,18 +211,20 @@ def feature_stats(df: DataFrame, name: str) -> DataFrame:
     )
 
 
-def suggest_features(df: DataFrame) -> DataFrame:
-    """Suggested formulas: log of skewed columns, ratios, products of correlated pairs, calendar parts; 20 at most."""
+def suggest_features(df: DataFrame, shapes: int | None = None, top: int | None = None) -> DataFrame:
+    """Suggested formulas: log of skewed columns, ratios, products of correlated pairs, calendar parts.
+
+    A report may ask for the first ``shapes`` transforms and ratios and the ``top`` suggestions; all are the default.
+    """
     nums, dates = numeric_columns(df), date_columns(df)
-    pairs8 = [(a, b) for i, a in enumerate(nums[:8]) for b in nums[i + 1:8]]
-    pairs10 = [(a, b) for i, a in enumerate(nums[:10]) for b in nums[i + 1:10]]
+    pairs = list(combinations(nums, 2))
     checks = (
         [(1, i, f"log_{c}", f"log1p({c})", "transform", (F.abs(skew_g1(c)) > 1.5) & (F.min(c) >= 0))
          for i, c in enumerate(nums)]
         + [(2, i, f"{a}_per_{b}", f"{a} / ({b} + 1e-9)", "ratio",
-            (F.count_if(F.col(b) == 0) / F.count(F.lit(1)) < 0.1) & (F.avg(b) != 0)) for i, (a, b) in enumerate(pairs8)]
+            (F.try_divide(F.count_if(F.col(b) == 0), F.count(F.lit(1))) < 0.1) & (F.avg(b) != 0)) for i, (a, b) in enumerate(pairs)]
         + [(3, i, f"{a}_x_{b}", f"{a} * {b}", "interaction", F.abs(F.corr(a, b)) > 0.6)
-           for i, (a, b) in enumerate(pairs10)]
+           for i, (a, b) in enumerate(pairs)]
         + [(4, i, f"{c}_{part}", f"{part}({c})", "datetime", F.max(F.lit(True)))
            for i, (c, part) in enumerate((c, p) for c in dates for p in ("month", "dayofweek"))]
     )
@@ -231,11 +234,12 @@ def suggest_features(df: DataFrame) -> DataFrame:
         for k, (g, i, n, f, cat, ok) in enumerate(checks)
     ])
     kept = F.filter(F.array(*[f"_{k}" for k in range(len(checks))]), lambda s: s["ok"])
-    # Transforms and ratios share a budget of 15, the whole list one of 20.
-    first = F.slice(F.filter(kept, lambda s: s["grp"] <= 2), 1, 15)
+    first = F.filter(kept, lambda s: s["grp"] <= 2)
+    first = first if shapes is None else F.slice(first, 1, shapes)
     rest = F.filter(kept, lambda s: s["grp"] == 3)
     dates_ = F.filter(kept, lambda s: s["grp"] == 4)
-    listed = F.slice(F.concat(first, rest, dates_), 1, 20)
+    listed = F.concat(first, rest, dates_)
+    listed = listed if top is None else F.slice(listed, 1, top)
     return rows.select(F.inline(listed)).select("name", "formula", "category")
 
 

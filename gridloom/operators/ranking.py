@@ -72,9 +72,9 @@ def composite_score(context: str | None = None, recommended: list[str] | None =
 
 
 def column_key() -> Column:
-    """Finding identity: its normalised columns, or the start of its title where it names none."""
+    """Finding identity: its normalised columns, or its title where it names none."""
     cols = F.array_sort(F.array_distinct(F.transform(F.coalesce("columns", F.array().cast("array<string>")), lambda c: F.lower(F.trim(c)))))
-    return F.when(F.size(cols) > 0, F.array_join(cols, "|")).otherwise(F.lower(F.substring("title", 1, 40)))
+    return F.when(F.size(cols) > 0, F.array_join(cols, "|")).otherwise(F.lower("title"))
 
 
 def deduplicate(findings: DataFrame, order: Column | None = None) -> DataFrame:
@@ -97,13 +97,13 @@ def place(context: str | None) -> Column:
     return F.struct(tier.alias("tier"), F.when(head, order).otherwise(0).alias("at"))
 
 
-def rank_findings(findings: DataFrame, context: str | None = None, limit: int = CAP) -> DataFrame:
-    """Deduplicated findings of every run with score and rank, cut at ``limit``."""
+def rank_findings(findings: DataFrame, context: str | None = None, limit: int | None = None) -> DataFrame:
+    """Deduplicated findings of every run with score and rank: all, or the first ``limit``."""
     scored = findings.withColumn("score", composite_score(context)).withColumn("_p", place(context))
     order = F.struct(F.col("_p.tier"), F.col("_p.at"), -F.col("score"), F.col("seq"))
     unique = deduplicate(scored, F.struct("seq") if context in HEADLINES else order)
     w = Window.partitionBy("run_id").orderBy("_p.tier", "_p.at", F.desc("score"), "seq")
-    return unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint")).drop("_p")
+    return unique.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit if limit is not None else F.lit(True)).withColumn("rank", F.col("rank").cast("bigint")).drop("_p")
 
 
 def suppress_redundant(findings: DataFrame, context: str) -> DataFrame:
@@ -189,11 +189,11 @@ def penalty_gate(penalised: DataFrame, max_share: float = 0.50, max_drop: float
                     F.when(share >= max_share, "too_many_penalised").when(F.col("drop") >= max_drop, "drop_too_large").otherwise("ok").alias("verdict"))
 
 
-def rerank(penalised: DataFrame, recommended: list[str] | None = None, deprioritised: list[str] | None = None, limit: int = CAP) -> DataFrame:
-    """Suppressed findings below the others, then by score, then in the old order."""
+def rerank(penalised: DataFrame, recommended: list[str] | None = None, deprioritised: list[str] | None = None, limit: int | None = None) -> DataFrame:
+    """Suppressed findings below the others, then by score, then in the old order: all, or the first ``limit``."""
     s = penalised.withColumn("score", composite_score(None, recommended, deprioritised))
     w = Window.partitionBy("run_id").orderBy(F.col("suppressed").cast("int"), F.desc("score"), "seq")
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit).withColumn("rank", F.col("rank").cast("bigint"))
+    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit if limit is not None else F.lit(True)).withColumn("rank", F.col("rank").cast("bigint"))
 
 
 def eligible(min_confidence: float = 50.0) -> Column:

@@ -69,3 +69,20 @@ def test_cleaning_after_dropped_columns(spark):
     df = spark.createDataFrame(rows, "empty string, `Row Id` int, `My Text` string, num double, day date")
     done = clean_dataset(df, "Row Id")
     assert done.data.columns[:4] == ["row_id", "my_text", "num", "day"] and done.data.count() == 40
+
+
+def test_thirty_columns_all_take_part(spark):
+    """The last of thirty columns holds what each detector looks for."""
+    base = spark.range(400).withColumn("day", F.expr("timestamp_ntz '2024-01-01' + make_dt_interval(cast(id as int))"))
+    noise = {f"n{i:02d}": ((F.xxhash64("id", F.lit(i)) % 1000) / 1000.0) for i in range(28)}
+    df = base.withColumns(noise).withColumns({
+        "z1": F.when(F.col("id") == 7, 1e6).otherwise(F.col("id") * 1.0), "z2": F.col("id") * 3.0 + F.col("n00"),
+        "gap": F.when(F.col("id") < 300, 1.0), "g": F.when(F.col("id") < 200, "low").otherwise("high"),
+    })
+    nums = [*noise, "z1", "z2", "gap"]
+    assert "z1" in {r["column"] for r in detectors.univariate_anomalies(df, nums).collect()}
+    assert "z1" in {r["column"] for r in detectors.skewness_findings(df, nums).collect()}
+    assert ("g", "z2") in {(r["cat_col"], r["num_col"]) for r in detectors.segment_gaps(df, ["g"], nums).collect()}
+    assert "z2" in {r["column"] for r in detectors.trend_findings(df, "day", nums).collect()}
+    assert ("gap", "z2") in {(r["missing_column"], r["column"]) for r in detectors.missing_patterns(df, ["z2"]).collect()}
+    assert "z2" in {r["column"] for r in detectors.vif(df, [*noise, "z2", "id"]).collect()}
