@@ -53,3 +53,12 @@ def chi2_sf_2df(x: Column) -> Column:
 def pooled_sd(var_a: Column, var_b: Column) -> Column:
     """Root of the mean of two variances."""
     return F.sqrt((var_a + var_b) / 2)
+
+
+def correlation_of(a: str | Column, b: str | Column) -> Column:
+    """Pearson r over the rows where both are present; null if either does not vary (the built-in aggregate stops there)."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    both = a.isNotNull() & b.isNotNull()
+    x, y = F.when(both, a).cast("double"), F.when(both, b).cast("double")
+    r = F.try_divide(F.covar_pop(x, y), F.sqrt(F.var_pop(x)) * F.sqrt(F.var_pop(y)))
+    return F.when(r.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), r)))

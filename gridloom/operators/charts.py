@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.moments import correlation_of
+
 
 def leaderboard(df: DataFrame, label: str, value: str, n: int = 10, descending: bool = True) -> DataFrame:
     """Top rows by value with trimmed, non-empty labels."""
@@ -115,7 +117,7 @@ def heat_map(df: DataFrame, cols: list[str]) -> DataFrame:
     """Pearson r of every pair of columns on the complete rows, both ways round."""
     d = df.select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     pairs = [(a, b) for i, a in enumerate(cols) for b in cols[i:]]
-    p = d.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.round(F.corr(a, b), 3), F.lit(0.0)).alias("value")).alias(f"_{i}")
+    p = d.agg(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.coalesce(F.round(correlation_of(a, b), 3), F.lit(0.0)).alias("value")).alias(f"_{i}")
                 for i, (a, b) in enumerate(pairs)]).select(F.inline(F.array(*[f"_{i}" for i in range(len(pairs))])))
     return p.select(F.col("a").alias("x"), F.col("b").alias("y"), "value").unionByName(
         p.where("a <> b").select(F.col("b").alias("x"), F.col("a").alias("y"), "value"))

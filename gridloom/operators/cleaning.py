@@ -12,7 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.moments import skew_g1
+from gridloom.functions.moments import correlation_of, skew_g1
 from gridloom.functions.patterns import (
     CURRENCY, DATE_FORMATS, FALSE_WORDS, NAME_WORDS, PERCENT, PLACEHOLDERS, PRESERVE_OUTLIERS, PROTECTED, SEMANTIC_EMAIL,
     SEMANTIC_IP, SEMANTIC_PHONE, SEMANTIC_ZIP, TRUE_WORDS,
@@ -286,9 +286,9 @@ def missingness_mechanism(df: DataFrame, row_id: str, cols: Sequence[str] | None
     packed = rows.agg(*[
         F.struct(
             F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("missing"), F.count(c).alias("filled"),
-            F.array(*[F.corr(F.col(c).isNull().cast("double"), F.coalesce(F.col(o).cast("double"), F.lit(med[o])))
+            F.array(*[correlation_of(F.col(c).isNull().cast("double"), F.coalesce(F.col(o).cast("double"), F.lit(med[o])))
                       for o in nums if o != c] or [F.lit(None).cast("double")]).alias("rs"),
-            (F.corr(F.when(F.col(f"_prev_{c}").isNotNull(), F.col(c).isNull().cast("double")), F.col(f"_prev_{c}").cast("double"))
+            (correlation_of(F.when(F.col(f"_prev_{c}").isNotNull(), F.col(c).isNull().cast("double")), F.col(f"_prev_{c}").cast("double"))
              if c in own else F.lit(None).cast("double")).alias("self"),
         ).alias(f"_{i}") for i, c in enumerate(cols)])
     m = packed.select(F.inline(F.array(*[f"_{i}" for i in range(len(cols))])))

@@ -9,7 +9,7 @@ from math import ceil, log2
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.moments import k_squared
+from gridloom.functions.moments import correlation_of, k_squared
 from gridloom.functions.tails import chi2_sf, kendall_exact_p, normal_two_sided, t_two_sided
 from gridloom.operators.filters import distinct_counts
 from gridloom.operators.hypothesis import benjamini_hochberg, chi_square_parts
@@ -86,9 +86,9 @@ def pair_correlations(df: DataFrame, cols: Sequence[str], derived: bool = False)
     items = []
     for i, (a, b) in enumerate(pairs):
         ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-        rho = F.corr(f"_rk_{a}", f"_rk_{b}") if a in whole and b in whole else F.lit(None).cast("double")
+        rho = correlation_of(f"_rk_{a}", f"_rk_{b}") if a in whole and b in whole else F.lit(None).cast("double")
         items.append(F.struct(
-            F.lit(i).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), F.corr(a, b).alias("pearson"),
+            F.lit(i).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation_of(a, b).alias("pearson"),
             rho.alias("spearman"), F.count_if(ok).alias("n"), F.count(F.lit(1)).alias("n_total"),
             F.abs(F.skewness(a)).alias("skew_a"), F.abs(F.skewness(b)).alias("skew_b"),
         ))
@@ -97,7 +97,7 @@ def pair_correlations(df: DataFrame, cols: Sequence[str], derived: bool = False)
         if a in whole and b in whole:
             continue
         part = attach_ranks(df.select(a, b).na.drop(), [a, b]).agg(
-            F.lit(i).alias("pair"), F.corr(f"_rk_{a}", f"_rk_{b}").alias("_rho")
+            F.lit(i).alias("pair"), correlation_of(f"_rk_{a}", f"_rk_{b}").alias("_rho")
         )
         out = out.join(F.broadcast(part), "pair", "left").withColumn(
             "spearman", F.coalesce("spearman", "_rho")
@@ -232,7 +232,7 @@ def pair_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 def partial_correlation(df: DataFrame, a: str, b: str, control: str) -> DataFrame:
     """Pearson r of ``a`` and ``b`` with one control held fixed, from three correlations on the complete rows."""
     rows = df.select(a, b, control).na.drop()
-    m = rows.agg(F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("ab"), F.corr(a, control).alias("ac"), F.corr(b, control).alias("bc"))
+    m = rows.agg(F.count(F.lit(1)).alias("n"), correlation_of(a, b).alias("ab"), correlation_of(a, control).alias("ac"), correlation_of(b, control).alias("bc"))
     held = (1 - F.col("ac") * F.col("ac")) * (1 - F.col("bc") * F.col("bc"))
     part = F.when(held > 1e-12, (F.col("ab") - F.col("ac") * F.col("bc")) / F.sqrt(F.greatest(held, F.lit(0.0))))
     out = m.where("n >= 10").select(
@@ -268,7 +268,7 @@ def binary_numeric_pairs(df: DataFrame, binary: Sequence[str], nums: Sequence[st
             both = F.col(b).isNotNull() & F.col(c).isNotNull()
             items.append(F.struct(
                 F.lit(b).alias("col_a"), F.lit(c).alias("col_b"), F.count_if(both).alias("n"),
-                F.corr(flag, F.col(c)).alias("r")))
+                correlation_of(flag, F.col(c)).alias("r")))
     out = _pack(df, items).where("n >= 10 AND r IS NOT NULL")
     t, dof = _p_value_inputs(F.col("r"), F.col("n"))
     out = out.withColumn("_t", t).withColumn("_dof", dof).withColumn("p", F.round(t_two_sided("_t", "_dof"), 6))
@@ -294,7 +294,7 @@ def compare_numeric(df: DataFrame, a: str, b: str) -> DataFrame:
     rows = df.select(F.col(a).cast("double").alias(a), F.col(b).cast("double").alias(b)).na.drop()
     ranked = attach_ranks(rows, [a, b])
     m = ranked.agg(
-        F.count(F.lit(1)).alias("n"), F.corr(a, b).alias("r"), F.corr(f"_rk_{a}", f"_rk_{b}").alias("rho"),
+        F.count(F.lit(1)).alias("n"), correlation_of(a, b).alias("r"), correlation_of(f"_rk_{a}", f"_rk_{b}").alias("rho"),
         F.regr_slope(b, a).alias("slope"), F.regr_intercept(b, a).alias("intercept"))
     k = kendall(rows, a, b)
     out = m.select("*", k.select(F.struct("tau", "z")).scalar().alias("k"),

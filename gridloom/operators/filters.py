@@ -11,7 +11,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.moments import skew_g1
+from gridloom.functions.moments import correlation_of, skew_g1
 from gridloom.plans.ordered import with_position
 from gridloom.plans.stacked import (
     clean_number, date_columns, numeric_columns, stack_text, text_columns, wide_to_rows,
@@ -108,9 +108,16 @@ def sort_rows(df: DataFrame, col: str, ties: str, descending: bool = False) -> D
 
 
 def distinct_counts(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """``column, n_unique`` for all columns from one shuffle of distinct cells."""
-    cells = stack_text(df, cols).where(F.col("value").isNotNull()).distinct()
-    return cells.groupBy("column").agg(F.count(F.lit(1)).alias("n_unique"))
+    """``column, n_unique`` for all columns from one shuffle of distinct cells.
+
+    A cell travels as two 64-bit hashes of its value (0.0 and -0.0 are one value), so long texts are never shuffled.
+    """
+    def cell(i: int, c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.lit(i).alias("i"), F.xxhash64(c).alias("p"), F.xxhash64(F.lit(1), F.col(c)).alias("q")))
+
+    names = F.array(*[F.lit(c) for c in cols])
+    cells = df.select(F.explode(F.array_compact(F.array(*[cell(i, c) for i, c in enumerate(cols)]))).alias("s")).select("s.*").distinct()
+    return cells.groupBy("i").agg(F.count(F.lit(1)).alias("n_unique")).select(F.get(names, F.col("i")).alias("column"), "n_unique")
 
 
 def simple_type(dtype: str) -> str:
@@ -223,7 +230,7 @@ def suggest_features(df: DataFrame, shapes: int | None = None, top: int | None =
          for i, c in enumerate(nums)]
         + [(2, i, f"{a}_per_{b}", f"{a} / ({b} + 1e-9)", "ratio",
             (F.try_divide(F.count_if(F.col(b) == 0), F.count(F.lit(1))) < 0.1) & (F.avg(b) != 0)) for i, (a, b) in enumerate(pairs)]
-        + [(3, i, f"{a}_x_{b}", f"{a} * {b}", "interaction", F.abs(F.corr(a, b)) > 0.6)
+        + [(3, i, f"{a}_x_{b}", f"{a} * {b}", "interaction", F.abs(correlation_of(a, b)) > 0.6)
            for i, (a, b) in enumerate(pairs)]
         + [(4, i, f"{c}_{part}", f"{part}({c})", "datetime", F.max(F.lit(True)))
            for i, (c, part) in enumerate((c, p) for c in dates for p in ("month", "dayofweek"))]

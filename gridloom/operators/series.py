@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.moments import correlation_of
 from gridloom.functions.tails import t_two_sided
 from gridloom.session import settle
 from gridloom.plans.ordered import grouped_quantiles, neighbourhood, with_position, with_previous
@@ -96,7 +97,7 @@ def trend(pts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     placed = with_position(pts, keys, "date").withColumn("x", F.col("pos") - 1.0)
     g = placed.groupBy(*keys) if keys else placed
     m = g.agg(F.count(F.lit(1)).alias("n"), F.regr_slope("value", "x").alias("slope"), F.regr_intercept("value", "x").alias("intercept"),
-              F.corr("value", "x").alias("r"))
+              correlation_of("value", "x").alias("r"))
     t = F.col("r") * F.sqrt((F.col("n") - 2) / F.greatest(1 - F.col("r") * F.col("r"), F.lit(1e-300)))
     m = m.withColumn("_t", t).withColumn("_dof", (F.col("n") - 2).cast("double")).withColumn("_p", t_two_sided("_t", "_dof"))
     return m.select(*keys, "n", F.round("slope", 6).alias("slope"), F.round("intercept", 4).alias("intercept"),
@@ -185,7 +186,7 @@ def seasonality(pts: DataFrame, lag: int, keys: Sequence[str] = ()) -> DataFrame
     placed = with_position(pts, keys, "date")
     l = neighbourhood(placed, keys, lambda frame: {"_l": F.lag("value", lag).over(frame(None, None))}, before=lag, after=0)
     g = l.groupBy(*keys) if keys else l
-    r = g.agg(F.count(F.lit(1)).alias("n"), F.corr(F.when(F.col("_l").isNotNull(), F.col("value")), F.col("_l")).alias("r")).withColumn(
+    r = g.agg(F.count(F.lit(1)).alias("n"), correlation_of(F.when(F.col("_l").isNotNull(), F.col("value")), F.col("_l")).alias("r")).withColumn(
         "r", F.when(F.col("n") >= 2 * lag, F.col("r")))
     a = F.abs("r")
     return r.select(*keys, F.lit(lag).cast("bigint").alias("lag"), F.round("r", 4).alias("autocorr"), F.coalesce(a > 0.3, F.lit(False)).alias("detected"),
