@@ -86,3 +86,16 @@ def test_thirty_columns_all_take_part(spark):
     assert "z2" in {r["column"] for r in detectors.trend_findings(df, "day", nums).collect()}
     assert ("gap", "z2") in {(r["missing_column"], r["column"]) for r in detectors.missing_patterns(df, ["z2"]).collect()}
     assert "z2" in {r["column"] for r in detectors.vif(df, [*noise, "z2", "id"]).collect()}
+
+
+def test_ad_hoc_sql_reads_its_table_only(spark):
+    from gridloom.operators.adhoc import run_sql
+
+    df = spark.range(10).withColumnRenamed("id", "x")
+    spark.range(3).createOrReplaceTempView("data")
+    assert run_sql(df, "select 'update -- kept; drop' as s, max(x) as m from data -- gone").first() == ("update -- kept; drop", 9)
+    assert spark.table("data").count() == 3
+    for sql in ("select * from parquet.`/tmp/x`", "select (select count(*) from other) from data", "select java_method('java.lang.System', 'nanoTime') from data",
+                "select `reflect`('java.lang.System', 'nanoTime') from data", "select 1 from data; drop table x"):
+        with pytest.raises(ValueError):
+            run_sql(df, sql)
