@@ -216,7 +216,11 @@ def _(t):
     return ch.shares(t.documents.join(t.labels, "doc_id", "left"), "toxic", 8)
 
 
-@query("chart_scatter_sample", "CHT-04")
+@query("chart_scatter_sample", "CHT-04", """
+WITH d AS (SELECT l_orderkey * 8 + l_linenumber AS row_id, l_quantity::DOUBLE AS x, l_extendedprice::DOUBLE AS y FROM lineitem),
+f AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, sqrt(regr_syy(y, x) * (1 - regr_r2(y, x)) / count(*)) AS sd FROM d)
+SELECT row_id, x, y, round(y - a - b * x, 4) AS residual, sd > 1e-10 AND abs(y - a - b * x) > 2 * sd AS is_anomaly
+FROM d, f ORDER BY md5('42:' || row_id), row_id LIMIT 300""")
 def _(t):
     d = t.lineitem.withColumn("row_id", F.col("l_orderkey") * 8 + F.col("l_linenumber"))
     return ch.scatter_sample(d, "row_id", "l_quantity", "l_extendedprice")

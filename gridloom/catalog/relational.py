@@ -388,7 +388,8 @@ def _(t):
     return top_values(t.part, "p_brand", 8)
 
 
-@query("hash_sample_orders", "SRT-05")
+@query("hash_sample_orders", "SRT-05", """
+SELECT * FROM orders WHERE CAST('0x' || substr(md5('42:' || o_orderkey), 1, 8) AS BIGINT) < CAST(floor(0.2 * 4294967296) AS BIGINT)""")
 def _(t):
     from gridloom.operators.sampling import hash_sample
     return hash_sample(t.orders, "o_orderkey", 0.2, seed=42)

@@ -41,6 +41,16 @@ def _(t):
     return ts.gaps(_minutes(t), ["event_type"])
 
 
+@query("ts_gaps_dear_orders", "WIN-03", """
+WITH p AS (SELECT DISTINCT o_orderdate AS date FROM orders WHERE o_totalprice > (SELECT 0.95 * max(o_totalprice) FROM orders)),
+d AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev, epoch(date) - epoch(lag(date) OVER (ORDER BY date)) AS s FROM p)
+SELECT prev AS gap_from, date AS gap_to, round(s / 86400, 2) AS gap_days FROM d WHERE s > 2.5 * (SELECT median(s) FROM d)""")
+def _(t):
+    most = t.orders.agg(0.95 * F.max("o_totalprice")).scalar()
+    dear = t.orders.withColumn("_m", most).where(F.col("o_totalprice") > F.col("_m"))
+    return ts.gaps(ts.points(dear, "o_orderdate", "o_totalprice"))
+
+
 @query("ts_daily_gaps", "WIN-03 PRF-07", """
 WITH p AS (SELECT DISTINCT o_orderdate AS date FROM orders), d AS (SELECT date, lag(date) OVER (ORDER BY date) AS prev, epoch(date) - epoch(lag(date) OVER (ORDER BY date)) AS s FROM p)
 SELECT prev AS gap_from, date AS gap_to, round(s / 86400, 2) AS gap_days FROM d WHERE s > 2.5 * (SELECT median(s) FROM d)""")
@@ -81,6 +91,18 @@ _LEVEL = """WITH s AS (SELECT row_number() OVER (ORDER BY day) AS pos, count(*)
   SELECT date_trunc('day', ts) AS day, CASE WHEN date_trunc('day', ts) >= '2024-01-15' THEN 1000.0 * 25 ELSE 0 END + avg(value) AS v FROM events GROUP BY 1))"""
 
 
+@query("ts_change_points_spike", "WIN-08", f"""{_LEVEL.replace("date_trunc('day', ts) >= '2024-01-15'", "date_trunc('day', ts) = '2024-01-15'")},
+w AS (SELECT *, greatest(3, n // 15) AS w, stddev_samp(value) OVER () AS sd FROM s),
+c AS (SELECT a.pos - 1 - (a.w - 1) // 2 AS i, (a.value - b.value) / a.w AS step, a.sd, a.w, a.n FROM w a JOIN w b ON b.pos = a.pos - a.w),
+h AS (SELECT c.*, w.date FROM c JOIN w ON w.pos - 1 = c.i WHERE abs(step) > 1.5 * c.sd AND i >= c.w AND i < c.n - c.w)
+SELECT i::BIGINT AS "index", date, round(abs(step), 4) AS magnitude, CASE WHEN step > 0 THEN 'up' ELSE 'down' END AS direction, round(abs(step) / sd, 2) AS sigma FROM h""")
+def _(t):
+    day = F.date_trunc("day", "ts").cast("timestamp_ntz")
+    d = t.events.groupBy(day.alias("d")).agg(F.avg("value").alias("v"))
+    spike = F.when(F.col("d") == F.lit("2024-01-15").cast("timestamp_ntz"), 25000.0).otherwise(0.0)
+    return ts.change_points(ts.points(d.select("d", (F.col("v") + spike).alias("v")), "d", "v"))
+
+
 @query("ts_change_points", "WIN-08", f"""{_LEVEL},
 w AS (SELECT *, greatest(3, n // 15) AS w, stddev_samp(value) OVER () AS sd FROM s),
 c AS (SELECT a.pos - 1 - (a.w - 1) // 2 AS i, (a.value - b.value) / a.w AS step, a.sd, a.w, a.n FROM w a JOIN w b ON b.pos = a.pos - a.w),

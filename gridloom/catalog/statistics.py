@@ -160,7 +160,12 @@ def _(t):
         "col_a", "col_b", F.round("pearson", 4).alias("pearson"), F.round("spearman", 4).alias("spearman"), "n")
 
 
-@query("corr_candidates_lineitem", "STA-10")
+def _candidate(c):
+    cv = f"CASE WHEN abs(avg({c})) > 1e-10 THEN stddev_samp({c}) / abs(avg({c})) ELSE stddev_samp({c}) END"
+    return f"""SELECT '{c}' AS "column", round(count({c}) / count(*) * least(count(DISTINCT {c}) / count(*), 1.0) * least({cv}, 10.0), 4) AS score FROM lineitem"""
+
+
+@query("corr_candidates_lineitem", "STA-10", " UNION ALL ".join(_candidate(c) for c in [*_LI, "l_partkey", "l_suppkey", "l_linenumber"]))
 def _(t):
     return cor.rank_numeric_candidates(t.lineitem, [*_LI, "l_partkey", "l_suppkey", "l_linenumber"], cor.MAX_NUMERIC)
 

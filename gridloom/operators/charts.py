@@ -86,7 +86,7 @@ def scatter_sample(df: DataFrame, row_id: str, x: str, y: str, n: int = MAX_SCAT
     """At most ``n`` rows, chosen by hashed id, with the residual flag of the line fitted to all rows."""
     from gridloom.operators.correlation import residual_flags
 
-    return residual_flags(df, row_id, x, y).orderBy(F.xxhash64(F.col(row_id), F.lit(42)), row_id).limit(n)
+    return residual_flags(df, row_id, x, y).orderBy(F.md5(F.concat(F.lit("42:"), F.col(row_id).cast("string"))), row_id).limit(n)
 
 
 def box_whiskers(df: DataFrame, cat: str, num: str, most_outliers: int | None = None) -> DataFrame:

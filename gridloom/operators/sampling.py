@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 def hash_sample(df: DataFrame, row_id: str, fraction: float, seed: int = 42) -> DataFrame:
     """A repeatable uniform sample: rows whose hashed id falls below the fraction, independent of partitioning."""
-    limit = int(fraction * 2**32)
-    return df.where(F.pmod(F.xxhash64(F.col(row_id), F.lit(seed)), F.lit(2**32)) < limit)
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(row_id).cast("string")))
+    return df.where(F.conv(F.substring(digest, 1, 8), 16, 10).cast("bigint") < int(fraction * 2**32))
 
 
 def latest_per_key(df: DataFrame, key: str, order: str, ties: str, n: int) -> DataFrame:

@@ -144,8 +144,8 @@ def robust_anomalies(rows: DataFrame, col: str, keys: Sequence[str] = ()) -> Dat
     return out.withColumn("is_anomaly", flag).drop("_med", "_dev", "_mad", "_mean", "_std")
 
 
-def change_points(pts: DataFrame, keys: Sequence[str] = (), limit: int = 5) -> DataFrame:
-    """Jumps of the centred rolling mean above 1.5 standard deviations, merged within the window, the first five.
+def change_points(pts: DataFrame, keys: Sequence[str] = (), limit: int | None = None) -> DataFrame:
+    """Jumps of the centred rolling mean above 1.5 standard deviations, merged within the window: all, or the first ``limit``.
 
     The step of a rolling mean of width w is (v[j] - v[j - w]) / w, so each point only meets the one w places before.
     At most 4 n / (2.25 w^2) points can pass, a few dozen per series, and only those are folded in order.
@@ -178,7 +178,7 @@ def change_points(pts: DataFrame, keys: Sequence[str] = (), limit: int = 5) -> D
             better, F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(x))).otherwise(acc)
 
     merged = lists.withColumn("c", F.aggregate("c", F.slice(F.col("c"), 1, 0), fold))
-    return merged.select(*keys, F.inline(F.slice("c", 1, limit))).drop("w")
+    return merged.select(*keys, F.inline("c" if limit is None else F.slice("c", 1, limit))).drop("w")
 
 
 def seasonality(pts: DataFrame, lag: int, keys: Sequence[str] = ()) -> DataFrame:
