@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import DataFrame, Window
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from gridloom.plans.ordered import grouped_quantiles, running_before
 from gridloom.plans.stacked import stack_text
+from gridloom.session import settle
 
 GRAND_TOTAL = "Grand Total"
 
@@ -98,18 +100,19 @@ def rfm_base(df: DataFrame, customer: str, date: str, revenue: str) -> DataFrame
 def rfm_scores(base: DataFrame, customer: str) -> DataFrame:
     """Quintile scores 1..5 by interpolated, right-closed edges; everyone gets 3 where edges collide."""
     measures = ["recency_days", "frequency", "monetary"]
+    base = settle(base)
     long = base.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], measures, "column", "value")
     probs = {f"e{i}": i / 5 for i in range(6)}
-    edges = grouped_quantiles(long, ["column"], "value", probs).withColumn(
-        "edges", F.array(*[f"e{i}" for i in range(6)])
-    ).groupBy().pivot("column", measures).agg(F.first("edges"))
-    # One row of three edge arrays, read as scalar subqueries.
+    # Eighteen numbers, whatever the size of the table: read once and put into the plan as literals.
+    edges = {row["column"]: [row[f"e{i}"] for i in range(6)] for row in grouped_quantiles(long, ["column"], "value", probs).collect()}
     out = base
     for m, short, flip in zip(measures, ("r", "f", "m"), (True, False, False)):
-        e = edges.select(F.col(m)).scalar()
-        below = [(F.get(e, F.lit(i)) < F.col(m)).cast("int") for i in range(1, 5)]
-        level = below[0] + below[1] + below[2] + below[3] + 1
-        score = F.when(F.size(F.array_distinct(e)) < 6, F.lit(3)).otherwise(6 - level if flip else level)
+        e = edges.get(m, [])
+        if len(set(e)) < 6:
+            score = F.lit(3)
+        else:
+            level = reduce(lambda x, y: x + y, [(F.lit(e[i]) < F.col(m)).cast("int") for i in range(1, 5)]) + 1
+            score = 6 - level if flip else level
         out = out.withColumn(f"{short}_score", score.cast("bigint"))
     r, f = F.col("r_score"), F.col("f_score")
     segment = (
