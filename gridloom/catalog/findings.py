@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gridloom.catalog.base import query
-from gridloom.operators import charts as ch, ranking as rk, snapshot as sn
+from gridloom.operators import charts as ch, insights, ranking as rk, snapshot as sn
 
 _TYPE = {"1-URGENT": "anomaly", "2-HIGH": "correlation", "3-MEDIUM": "segment", "4-NOT SPECIFIED": "trend", "5-LOW": "data_quality"}
 _SEV = {"F": "high", "O": "medium", "P": "low"}
@@ -285,3 +285,55 @@ z AS (SELECT *, CASE WHEN x = 'm01' AND type <> 'line' THEN b * 0.4 ELSE b + CAS
 SELECT run_id, seq, type, round(score, 4) AS score, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, seq) AS rank FROM u QUALIFY rank <= 10""")
 def _(t):
     return ch.rank_charts(ch.chart_scores(_charts(t), _chart_plan(t)), ch.MAX_CHARTS).select("run_id", "seq", "type", F.round("score", 4).alias("score"), "rank")
+
+
+# --- findings of real tables ---------------------------------------------------------------------------------------------
+
+
+def _labelled(t):
+    return t.documents.join(t.labels, "doc_id", "left").withColumn("stops", F.length(F.regexp_replace("text", "[^.]", "")).cast("bigint"))
+
+
+_NUMS, _CATS = ["n_chars", "quality", "toxic", "stops"], ["quality", "toxic", "lang", "source"]
+
+
+def _single(c):
+    """Outlier, skewness and concentration findings of one number."""
+    return f"""SELECT 'anomaly' AS type, CASE WHEN pct > 5 THEN 'high' ELSE 'medium' END AS severity, round(least(97, 75 + pct * 2), 1) AS confidence, 'Anomalies in {c}' AS title FROM (
+  SELECT round(count(*) FILTER (v < lo OR v > hi) / count(*) * 100, 1) AS pct, count(*) FILTER (v < lo OR v > hi) AS k FROM (
+    SELECT v, CASE WHEN sk THEN q1 - 3 * (q3 - q1) ELSE m - 3 * sp END AS lo, CASE WHEN sk THEN q3 + 3 * (q3 - q1) ELSE m + 3 * sp END AS hi
+    FROM (SELECT {c}::DOUBLE AS v FROM d WHERE {c} IS NOT NULL), (SELECT abs(skewness({c})) > 1.5 AS sk, avg({c}) AS m, stddev_pop({c}) AS sp, stddev_samp({c}) AS sd,
+      quantile_cont({c}, 0.25) AS q1, quantile_cont({c}, 0.75) AS q3, count({c}) AS n FROM d) WHERE n >= 10 AND CASE WHEN sk THEN q3 > q1 ELSE sd >= 1e-10 END)) WHERE k > 0
+UNION ALL SELECT 'distribution', 'medium', round(least(95, 60 + abs(s) * 8), 1), 'Skewed distribution: {c}' FROM (SELECT skewness({c}) AS s, count({c}) AS n FROM d) WHERE n >= 20 AND abs(s) > 1.5
+UNION ALL SELECT 'concentration', CASE WHEN p > 70 THEN 'high' ELSE 'medium' END, round(least(95, 60 + p * 0.4), 1), 'Concentration risk in {c}' FROM (
+  SELECT round(sum(v) FILTER (i <= greatest(n // 10, 1)) / sum(v), 4) * 100 AS p, min(v) AS low, any_value(n) AS n FROM (
+    SELECT {c}::DOUBLE AS v, row_number() OVER (ORDER BY {c} DESC) AS i, count(*) OVER () AS n FROM d WHERE {c} IS NOT NULL)) WHERE n >= 20 AND low >= 0 AND p > 50"""
+
+
+_SINGLE = """WITH d AS (SELECT documents.*, quality, toxic, length(regexp_replace(text, '[^.]', '', 'g')) AS stops FROM documents LEFT JOIN labels USING (doc_id)),
+""" + "f AS (" + " UNION ALL ".join(_single(c) for c in _NUMS) + " UNION ALL " + " UNION ALL ".join(
+    f"""SELECT 'concentration', 'medium', 90.0, 'Category dominance: {c}' FROM (SELECT count(*) AS k, max(n) AS top FROM (SELECT count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY {c}))
+ WHERE k >= 2 AND top > 0.7 * (SELECT count(*) FROM d)""" for c in _CATS) + " UNION ALL " + " UNION ALL ".join(
+    f"""SELECT 'data_quality', CASE WHEN p > 30 THEN 'high' ELSE 'medium' END, 99.0, 'Missing data in {c}' FROM (SELECT round(count(*) FILTER ({c} IS NULL) / count(*) * 100, 1) AS p FROM d) WHERE p > 5
+ UNION ALL SELECT 'data_quality', 'low', 90.0, 'High-cardinality column: {c}' FROM (SELECT count(*) AS n, count(DISTINCT {c}) AS k FROM d) WHERE '{c}' IN ('text', 'lang', 'source') AND k / n > 0.8 AND k > 50
+ UNION ALL SELECT 'data_quality', 'medium', 100.0, 'Constant column: {c}' FROM (SELECT count({c}) AS n, {f"stddev_samp({c})" if c in _NUMS else "NULL"} AS s FROM d) WHERE n >= 5 AND s < 1e-6"""
+    for c in ["text", "lang", "source", "n_chars", "quality", "toxic", "stops"]) + ")"
+
+
+@query("findings_collected_columns", "STA-22 STA-23 STA-24 AGG-14 AGG-15", f"{_SINGLE} SELECT type, severity, confidence::DOUBLE AS confidence, title FROM f")
+def _(t):
+    return insights.collect_findings(_labelled(t), "doc_id", nums=_NUMS, cats=_CATS).where("size(columns) = 1").select("type", "severity", "confidence", "title")
+
+
+@query("findings_ranked_documents", "RNK-02 RNK-03")
+def _(t):
+    f = insights.collect_findings(_labelled(t), "doc_id")
+    return rk.rank_findings(f, limit=rk.CAP).withColumn("score", F.round("score", 6))
+
+
+@query("findings_executive_orders", "RNK-04 RNK-06 RNK-07")
+def _(t):
+    lines = t.lineitem.groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.sum("l_quantity").alias("quantity"), F.count(F.lit(1)).alias("lines"), F.max("l_discount").alias("discount"))
+    f = insights.collect_findings(t.orders.join(lines, "o_orderkey"), "o_orderkey", "o_orderdate")
+    ranked = rk.rerank(rk.plan_penalties(rk.deduplicate(f), f.sparkSession.createDataFrame([(0, "o_custkey", "ignore"), (0, "o_orderdate", "time")], "run_id int, column string, use string")))
+    return rk.executive_split(ranked)

@@ -104,7 +104,7 @@ def rfm_scores(base: DataFrame, customer: str) -> DataFrame:
     long = base.select(*[F.col(m).cast("double").alias(m) for m in measures]).unpivot([], measures, "column", "value")
     probs = {f"e{i}": i / 5 for i in range(6)}
     # Eighteen numbers, whatever the size of the table: read once and put into the plan as literals.
-    edges = {row["column"]: [row[f"e{i}"] for i in range(6)] for row in grouped_quantiles(long, ["column"], "value", probs).collect()}
+    edges = {row["column"]: [row[f"e{i}"] for i in range(6)] for row in grouped_quantiles(long, ["column"], "value", probs, few_keys=True).collect()}
     out = base
     for m, short, flip in zip(measures, ("r", "f", "m"), (True, False, False)):
         e = edges.get(m, [])
@@ -206,7 +206,7 @@ def concentration(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     size = long.groupBy("column").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("c"))
     placed = running_before(
-        counts.withColumn("neg", -F.col("value")), ["column"], "neg", "c"
+        counts.withColumn("neg", -F.col("value")), ["column"], "neg", "c", few_keys=True
     )
     def share(frac):
         k = F.greatest(F.floor(F.col("total") * frac), F.lit(1))

@@ -261,7 +261,7 @@ def drop_sparse(df: DataFrame, limit: float = 60.0) -> DataFrame:
 
 def numeric_medians(df: DataFrame, cols: Sequence[str]) -> dict[str, float]:
     """Exact medians, one number per column."""
-    q = grouped_quantiles(stack_numbers(df, cols), ["column"], "value", {"m": 0.5})
+    q = grouped_quantiles(stack_numbers(df, cols), ["column"], "value", {"m": 0.5}, few_keys=True)
     return {r["column"]: r["m"] for r in q.collect()}
 
 
@@ -307,7 +307,7 @@ def fill_values(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     parts = []
     if nums:
         s = wide_to_rows(df, nums, {"n": lambda c: F.count(c), "mean": lambda c: F.avg(c), "skew": lambda c: skew_g1(c)})
-        m = grouped_quantiles(stack_numbers(df, nums), ["column"], "value", {"median": 0.5}).drop("n")
+        m = grouped_quantiles(stack_numbers(df, nums), ["column"], "value", {"median": 0.5}, few_keys=True).drop("n")
         use_median = (F.col("n") < 3) | (F.abs("skew") > 1)
         parts.append(s.join(m, "column").select(
             "column", F.when(use_median, "median").otherwise("mean").alias("method"),
@@ -334,7 +334,7 @@ def impute_simple(df: DataFrame, cols: Sequence[str], flag: Sequence[str] = ())
 def outlier_bounds(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Fences per column: 3 x IQR when |skew| > 1 and the IQR is positive, else mean +- 4 standard deviations."""
     s = wide_to_rows(df, cols, {"n": lambda c: F.count(c), "mean": lambda c: F.avg(c), "std": lambda c: F.stddev_samp(c), "skew": lambda c: skew_g1(c)})
-    q = grouped_quantiles(stack_numbers(df, cols), ["column"], "value", {"q1": 0.25, "q3": 0.75}).drop("n")
+    q = grouped_quantiles(stack_numbers(df, cols), ["column"], "value", {"q1": 0.25, "q3": 0.75}, few_keys=True).drop("n")
     iqr = F.col("q3") - F.col("q1")
     fence = (F.abs("skew") > 1) & (iqr > 0)
     b = s.join(q, "column").select(

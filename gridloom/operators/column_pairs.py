@@ -79,7 +79,7 @@ def pairwise_tests(df: DataFrame, num: str, cat: str) -> DataFrame:
     parts = [F.col(f"{f}_{e}") for e in "ab" for f in ("n", "mean", "var")]
     t, dof = welch_parts(*parts)
     j = j.withColumn("_t", t).withColumn("_dof", dof).withColumn("p", F.round(t_two_sided("_t", "_dof"), 4))
-    j = benjamini_hochberg(j, "p", out="adjusted_p")
+    j = benjamini_hochberg(j, "p", out="adjusted_p", few_rows=True)
     return j.select(F.col("g_a").alias("group_a"), F.col("g_b").alias("group_b"), "p", F.round(F.abs(pooled_d(*parts)), 4).alias("cohens_d"),
                     F.round("adjusted_p", 6).alias("adjusted_p"), (F.col("adjusted_p") < 0.05).alias("significant_adjusted"))
 

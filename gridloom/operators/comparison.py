@@ -22,7 +22,7 @@ def compare_columns(a: DataFrame, b: DataFrame) -> DataFrame:
     cols = sorted(set(numeric_columns(a)) & set(numeric_columns(b)))
     both = _side(a, cols, "a").unionByName(_side(b, cols, "b"))
     moments = both.groupBy("column", "side").agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"))
-    medians = grouped_quantiles(both, ["column", "side"], "value", {"median": 0.5}).drop("n")
+    medians = grouped_quantiles(both, ["column", "side"], "value", {"median": 0.5}, few_keys=True).drop("n")
     rows = moments.join(medians, ["column", "side"])
     wide = rows.groupBy("column").pivot("side", ["a", "b"]).agg(
         F.first("mean").alias("mean"), F.first("std").alias("std"), F.first("median").alias("median")

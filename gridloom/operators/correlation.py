@@ -218,7 +218,7 @@ def pair_report(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.col("method") == "spearman", F.col(s)).otherwise(F.col(p))
     out = out.withColumn("primary_r", F.round(pick("tau", "spearman", "pearson"), 4)).withColumn(
         "primary_p", F.round(pick("kendall_p", "spearman_p", "pearson_p"), 6))
-    out = benjamini_hochberg(out, "primary_p")
+    out = benjamini_hochberg(out, "primary_p", few_rows=True)
     return out.select(
         "col_a", "col_b", "n", F.round("pearson", 4).alias("pearson_r"), F.round("spearman", 4).alias("spearman_r"),
         "method", "primary_r", "primary_p", F.round("adj_p", 6).alias("adj_p"),
@@ -335,7 +335,7 @@ def correlation_findings(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     j = j.withColumn("method", F.when(F.col("na") & F.col("nb"), "Pearson").otherwise("Spearman"))
     j = j.withColumn("r", F.when(F.col("method") == "Pearson", F.col("pearson")).otherwise(F.col("spearman"))).where(F.abs("r") > 0.3)
     t, dof = _p_value_inputs(F.col("r"), F.col("n"))
-    j = benjamini_hochberg(j.withColumn("_t", t).withColumn("_dof", dof).withColumn("p", t_two_sided("_t", "_dof")), "p")
+    j = benjamini_hochberg(j.withColumn("_t", t).withColumn("_dof", dof).withColumn("p", t_two_sided("_t", "_dof")), "p", few_rows=True)
     return j.where("adj_p < 0.05").select(
         "col_a", "col_b", "method", F.round("r", 4).alias("r"), "n", F.round("adj_p", 6).alias("adj_p"),
         F.when(F.abs("r") > 0.7, "high").otherwise("medium").alias("severity"),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from gridloom.functions.moments import chi2_sf_2df, k_squared
 from gridloom.functions.tails import chi2_sf, f_sf, normal_two_sided, t_two_sided
-from gridloom.plans.ordered import average_ranks, grouped_quantiles
+from gridloom.plans.ordered import average_ranks, grouped_quantiles, running, running_before, value_counts, with_position
+from gridloom.session import settle
 
 # Upper limits of the labels small, medium and large per effect measure.
 EFFECT_LIMITS = {
@@ -213,11 +214,21 @@ def run_test(df: DataFrame, kind: str, a: str, b: str | None = None, alpha: floa
     return TESTS[kind](df, a, b, alpha)
 
 
-def benjamini_hochberg(df: DataFrame, p: str, keys: tuple[str, ...] = (), out: str = "adj_p") -> DataFrame:
-    """Adjusted p-values within the keys. The rows are test results (pairs of columns), a bounded number per key."""
-    by = Window.partitionBy(*(list(keys) or [F.lit(1)]))
-    ranked = df.withColumn("_rk", F.row_number().over(by.orderBy(p))).withColumn("_m", F.count(F.lit(1)).over(by))
-    up = by.orderBy(F.desc("_rk")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn(
-        out, F.least(F.min(F.col(p) * F.col("_m") / F.col("_rk")).over(up), F.lit(1.0))
-    ).drop("_rk", "_m")
+def benjamini_hochberg(df: DataFrame, p: str, keys: tuple[str, ...] = (), out: str = "adj_p", few_rows: bool = False) -> DataFrame:
+    """Adjusted p-values within the keys, for any number of tests. Rows with a null p-value or key are no tests: null.
+
+    Ranks and the running minimum from the largest p-value down are found in blocks. ``few_rows`` says that the rows are
+    pairs of columns or of a top-k, so that one ordered window is enough.
+    """
+    if few_rows:
+        by = Window.partitionBy(*(list(keys) or [F.lit(1)]))
+        ranked = df.withColumn("_rk", F.row_number().over(by.orderBy(F.asc_nulls_last(p)))).withColumn("_m", F.count(p).over(by))
+        up = by.orderBy(F.desc("_rk")).rowsBetween(Window.unboundedPreceding, 0)
+        low = F.least(F.min(F.col(p) * F.col("_m") / F.col("_rk")).over(up), F.lit(1.0))
+        return ranked.withColumn(out, F.when(F.col(p).isNotNull(), low)).drop("_rk", "_m")
+    rows, keys = settle(df), list(keys)  # the p-values are met again as join keys
+    counts = value_counts(rows, keys, p)
+    placed = running_before(counts, keys, p, before="_before", total="_m").withColumn("_q", F.col(p) * F.col("_m") / (F.col("_before") + F.col("n")))
+    low = running(with_position(placed, keys, p, descending=True, pos="_pos"), keys, "_q", "min", "_low", pos="_pos")
+    low = low.select(*keys, p, F.least("_low", F.lit(1.0)).alias(out))
+    return rows.join(low, [*keys, p], "left").select(*df.columns, out)

@@ -54,7 +54,7 @@ def rounded(m: DataFrame, digits: int = 6) -> DataFrame:
 def incomplete_histories(metrics: DataFrame) -> DataFrame:
     """Symbols below 72 % of the peers' median row count or calendar span."""
     q = settle(metrics.where(F.col("n_obs") >= MIN_OBS))
-    med = grouped_quantiles(stack_numbers(q, ["n_obs", "span_days"]), ["column"], "value", {"m": 0.5})
+    med = grouped_quantiles(stack_numbers(q, ["n_obs", "span_days"]), ["column"], "value", {"m": 0.5}, few_keys=True)
     pair = med.agg(F.struct(*[F.max(F.when(F.col("column") == c, F.col("m"))).alias(c) for c in ("n_obs", "span_days")])).scalar()
     d = q.withColumn("_m", pair).select("*", F.col("_m.n_obs").alias("_o"), F.col("_m.span_days").alias("_s")).where("_o > 0 AND _s > 0")
     need_obs = F.greatest(F.lit(float(MIN_OBS)), INCOMPLETE_SHARE * F.col("_o"))

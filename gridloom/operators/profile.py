@@ -56,7 +56,7 @@ def numeric_profile(df: DataFrame, cols: Sequence[str] | None = None) -> DataFra
         "max": lambda c: F.max(c).cast("double"), "skewness": lambda c: F.coalesce(skew_g1(c), F.lit(0.0)),
         "kurtosis": lambda c: F.coalesce(kurt_g2(c), F.lit(0.0)), "zeros": lambda c: F.count_if(F.col(c) == 0),
     })
-    q = grouped_quantiles(stack_numbers(df, cols), ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}).drop("n")
+    q = grouped_quantiles(stack_numbers(df, cols), ["column"], "value", {"q25": 0.25, "median": 0.5, "q75": 0.75}, few_keys=True).drop("n")
     # Three tables of one row per column.
     wide = settle(base.join(q, "column").join(distinct_counts(df, cols), "column", "left"))
     out = wide.join(outlier_counts(df, cols, wide), "column", "left").na.fill(0, ["outliers_iqr", "outliers_zscore", "n_unique"])
@@ -97,7 +97,7 @@ def distribution_fit(df: DataFrame, cols: Sequence[str]) -> DataFrame:
         F.count(F.lit(1)).alias("size"), F.avg("value").alias("m"), F.stddev_samp("value").alias("sd"), F.min("value").alias("lo"),
         F.avg(lv).alias("lm"), F.stddev_samp(lv).alias("lsd")).where("size >= 20 AND sd >= 1e-10")
     pos = F.col("lo") > 0
-    placed = running_before(counts, ["column"], "value", "n").join(F.broadcast(par), "column")
+    placed = running_before(counts, ["column"], "value", "n", few_keys=True).join(F.broadcast(par), "column")
     alpha = 1 / (F.col("lm") - F.ln("lo"))
     laws = {
         "normal": normal_cdf((v - F.col("m")) / F.col("sd")),
@@ -131,8 +131,8 @@ def datetime_profile(df: DataFrame, as_of: str, cols: Sequence[str] | None = Non
     steps = settle(_date_steps(_days(df, cols)))
     repeats = steps.select("column", F.lit(0.0).alias("step"), (F.col("n") - 1).alias("w")).where("w > 0")
     real = steps.where("prev IS NOT NULL").select("column", "step", F.lit(1).cast("bigint").alias("w"))
-    med_all = grouped_quantiles(real.unionByName(repeats), ["column"], "step", {"med": 0.5}, weight="w").drop("n")
-    med_distinct = grouped_quantiles(real, ["column"], "step", {"gap_med": 0.5}).drop("n")
+    med_all = grouped_quantiles(real.unionByName(repeats), ["column"], "step", {"med": 0.5}, weight="w", few_keys=True).drop("n")
+    med_distinct = grouped_quantiles(real, ["column"], "step", {"gap_med": 0.5}, few_keys=True).drop("n")
     gaps = real.join(med_distinct, "column").where(F.col("step") > 2.5 * F.col("gap_med")).groupBy("column").agg(
         F.count(F.lit(1)).alias("gap_count"), F.max(F.floor("step")).cast("bigint").alias("largest_gap_days"))
     span = steps.groupBy("column").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.sum("n").alias("n"))

@@ -20,8 +20,6 @@ from gridloom.session import shuffle_width
 
 MAX_BLOCKS = 10_000
 ROWS_PER_BLOCK = 100_000
-# Keys that only hold column names or table sides, so their number is that of the columns.
-BOUNDED_KEYS = ("column", "side")
 
 
 def as_number(df: DataFrame, col: str) -> Column:
@@ -60,11 +58,12 @@ def _cut(df: DataFrame, number: Column, edges: Sequence[float], out: str) -> Dat
 
 def running_before(
     df: DataFrame, keys: Sequence[str], order: str, weight: str = "n", blocks: int | None = None,
-    before: str = "before", total: str = "total",
+    before: str = "before", total: str = "total", few_keys: bool = False,
 ) -> DataFrame:
     """Add the weight of all rows of the same keys with a smaller ``order`` value, and the key's total.
 
-    ``order`` is unique within the keys (aggregate first), so one frequent value is one row.
+    ``order`` is unique within the keys (aggregate first), so one frequent value is one row. ``few_keys`` says that the
+    keys are no data but names of columns or table sides: the block table is then small enough to broadcast.
     """
     number = as_number(df, order)
     cut = _cut(df, number, block_edges(df, number, blocks), "_blk")
@@ -79,7 +78,7 @@ def running_before(
     )
     return (
         cut.withColumn("_in", F.coalesce(F.sum(weight).over(inner), F.lit(0)))
-        .join(F.broadcast(offsets) if all(k in BOUNDED_KEYS for k in keys) else offsets, [*keys, "_blk"])
+        .join(F.broadcast(offsets) if few_keys or not keys else offsets, [*keys, "_blk"])
         .withColumn(before, F.col("_off") + F.col("_in"))
         .drop("_blk", "_in", "_off")
     )
@@ -91,12 +90,13 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def grouped_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: dict[str, float], weight: str | None = None,
-    blocks: int | None = None,
+    blocks: int | None = None, few_keys: bool = False,
 ) -> DataFrame:
     """Exact interpolated quantiles per key: ``keys``, one column per name in ``probs``, and the weight sum ``n``.
 
     A distributed selection: count rows per (key, block), find the blocks that hold the wanted ranks, and only order
-    the rows of those blocks. Rows with a null key or value do not take part. ``weight`` names a count column.
+    the rows of those blocks. Rows with a null key or value do not take part. ``weight`` names a count column,
+    ``few_keys`` is as in ``running_before``.
     """
     keys = list(keys)
     rows = df.select(*keys, value, *([weight] if weight else [])).where(F.col(value).isNotNull())
@@ -124,7 +124,7 @@ def grouped_quantiles(
         wanted = wanted | holds(lo, "_off", "_w") | holds(hi, "_off", "_w")
     inner = Window.partitionBy(*keys, "_blk").orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     hits = spans.where(wanted).drop("_w")
-    if all(k in BOUNDED_KEYS for k in keys):
+    if few_keys or not keys:
         # At most two blocks per probe and column: the rows of the other blocks are dropped where they are read.
         hits = F.broadcast(hits)
     placed = (
