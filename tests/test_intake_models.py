@@ -103,3 +103,27 @@ def test_classes_with_confidence(spark):
 def test_time_limit(spark):
     with pytest.raises(Exception):
         adhoc.fetch_sql(spark.range(0, 20_000_000_000, 1, 64), "SELECT sum(sin(id) * cos(id)) AS n FROM data", seconds=2)
+
+
+def test_quoted_line_breaks_and_encodings(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes('id,note\n1,"two\nlines, ""quoted"""\n2,5" pipe\n3,"a\n\nb"\n4,plain\n'.encode())
+    (tmp_path / "b.csv").write_bytes("id,note\n1,café\n2,\"naïve\nword\"\n".encode("latin-1"))
+    (tmp_path / "c.csv").write_bytes('id,note\n1,x\n2,"never closed\n3,y\n'.encode())
+    rows = ln.read_lines(spark, str(tmp_path))
+    got = {}
+    for r in rows.collect():
+        got.setdefault(r["file"][-5:], {})[r["line_no"]] = r["line"]
+    assert got["a.csv"] == {0: "id,note", 1: '1,"two\nlines, ""quoted"""', 2: '2,5" pipe', 3: '3,"a\n\nb"', 4: "4,plain"}
+    assert got["b.csv"] == {0: "id,note", 1: "1,café", 2: '2,"naïve\nword"'}
+    assert got["c.csv"] == {0: "id,note", 1: "1,x", 2: '2,"never closed', 3: "3,y"}
+    rows = rows.where("file NOT LIKE '%c.csv'")
+    cells = {(r["file"][-5:], r["cells"]["id"]): r["cells"]["note"] for r in ln.table_records(rows, ln.intake_manifest(rows)).collect()}
+    assert cells == {("a.csv", "1"): 'two\nlines, "quoted"', ("a.csv", "2"): '5" pipe', ("a.csv", "3"): "a\n\nb", ("a.csv", "4"): "plain",
+                     ("b.csv", "1"): "café", ("b.csv", "2"): "naïve\nword"}
+
+
+def test_long_quoted_cells_do_not_recurse(spark):
+    line = '1,"' + 'word, ""x"" ' * 50_000 + '",end'
+    d = spark.createDataFrame([(line, ",")], "line string, delimiter string")
+    got = d.select(ln.cells().alias("c")).first()["c"]
+    assert len(got) == 3 and got[2] == "end" and got[1].count('"x"') == 50_000
