@@ -6,8 +6,9 @@ from collections.abc import Sequence
 from functools import reduce
 from math import floor
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
@@ -15,55 +16,85 @@ from gridloom.plans.ordered import grouped_quantiles, with_previous
 from gridloom.session import settle
 
 FLOOR, SHARE = 0.05, 0.05
-GRID_COLUMNS = 3
+GRID_COLUMNS, HALVINGS, CELL_POINTS = 3, 16, 32
 
 
-def _neighbours(points: DataFrame, zs: Sequence[str], grid: Sequence[str], reach: float) -> DataFrame:
-    """Per point: nearest distance within ``reach`` and the nearest later point (by id) within it.
+def _neighbours(asks: DataFrame, points: DataFrame, zs: Sequence[str], reach: float) -> DataFrame:
+    """Per asking point: nearest distance within ``reach`` and the nearest later point (by id) within it.
 
-    Points meet only in equal or touching cells of a grid with cells of the reach; pairs are folded into two aggregates
-    as they are formed and never stored.
+    Points meet only in equal or touching cells (over the ``g`` columns) of the size of the reach; pairs are folded into
+    two aggregates as they are formed and never stored.
     """
-    cell = [F.floor(F.col(z) / reach).alias(f"_c{i}") for i, z in enumerate(grid)]
-    p = points.select("*", *cell)
-    keys = [f"_c{i}" for i in range(len(grid))]
-    spread = p
+    gs = [c for c in points.columns if c.startswith("g")]
+    keys = [f"_c{i}" for i in range(len(gs))]
+    cell = lambda df: df.select("*", *[F.floor(F.col(g) / reach).alias(k) for g, k in zip(gs, keys)])
+    spread = cell(asks)
     for k in keys:
         spread = spread.withColumn(k, F.explode(F.array(F.col(k) - 1, F.col(k), F.col(k) + 1)))
     a = spread.select(*keys, *[F.col(z).alias(f"{z}_a") for z in zs], F.col("last_id").alias("id_a"))
-    b = p.select(*keys, *[F.col(z).alias(f"{z}_b") for z in zs], F.col("last_id").alias("id_b"))
+    b = cell(points).select(*keys, *[F.col(z).alias(f"{z}_b") for z in zs], F.col("last_id").alias("id_b"))
     dist = F.sqrt(reduce(lambda x, y: x + y, [F.pow(F.col(f"{z}_a") - F.col(f"{z}_b"), F.lit(2)) for z in zs]))
     near = a.join(b, keys).where("id_a <> id_b").withColumn("d", dist).where(F.col("d") <= reach)
     later = F.col("id_b") > F.col("id_a")
-    return near.groupBy("id_a").agg(F.min("d").alias("nearest"), F.min(F.when(later, F.struct("d", "id_b"))).alias("later"))
+    return near.groupBy("id_a").agg(F.min("d").alias("_nearest"), F.min(F.when(later, F.struct("d", "id_b"))).alias("_later"))
+
+
+def _grid(zs: Sequence[str]) -> list[Column]:
+    """Up to three coordinates that no distance stretches: the columns themselves, else fixed random directions through all
+    of them, so that points which differ in any column can be told apart."""
+    if len(zs) <= GRID_COLUMNS:
+        return [F.col(z) for z in zs]
+    directions, _ = np.linalg.qr(np.random.default_rng(0).normal(size=(len(zs), GRID_COLUMNS)))
+    return [reduce(lambda x, y: x + y, [F.lit(float(w)) * F.col(z) for w, z in zip(d, zs)]) for d in directions.T]
+
+
+def _first_reach(points: DataFrame) -> float:
+    """The largest halving of the floor at which no cell holds more than a few points (the smallest one tried otherwise)."""
+    gs = [c for c in points.columns if c.startswith("g")]
+    sizes = points.select(F.explode(F.sequence(F.lit(0), F.lit(HALVINGS))).alias("j"), *gs).groupBy(
+        "j", *[F.floor(F.col(g) * F.pow(F.lit(2.0), F.col("j")) / FLOOR).alias(f"_{g}") for g in gs]).agg(F.count(F.lit(1)).alias("n"))
+    most = {r["j"]: r["n"] for r in sizes.groupBy("j").agg(F.max("n").alias("n")).collect()}
+    return FLOOR / 2 ** next((j for j in range(HALVINGS) if most.get(j, 0) <= CELL_POINTS), HALVINGS)
 
 
 def near_duplicate_rows(df: DataFrame, row_id: str, cols: Sequence[str], exact: bool = True) -> DataFrame:
     """Each row with its nearest later near-duplicate.
 
     Rows are compared on standardised numbers. The threshold is the 5th percentile of all rows' nearest distances, at
-    least 0.05: the reach starts there and doubles until enough nearest distances are known to fix that percentile.
-    Identical rows are one point; a copy's partner is the next copy.
+    least 0.05. The reach starts where cells hold few points and doubles until the floor is passed and enough nearest
+    distances are known to fix that percentile. A point that knows its nearest and its nearest later one asks no more, so
+    in a dense cell only the few that still lack a later one go on to larger cells. Identical rows are one point; a
+    copy's partner is the next copy.
     """
     cols = list(cols)
     rows = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-    s = rows.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s"), F.approx_count_distinct(c).alias("k")).alias(c) for c in cols]).first()
+    s = rows.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]).first()
     n = s["n"]
     schema = "first_id bigint, second_id bigint, distance double"
     if n < 5:
         return df.sparkSession.createDataFrame([], schema)
     zs = [f"z{i}" for i in range(len(cols))]
-    points = settle(rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"), F.max(row_id).alias("last_id")).select(
-        "copies", "last_id", *[((F.col(c) - s[c]["m"]) / (s[c]["s"] or 1.0)).alias(z) for c, z in zip(cols, zs)]))
-    grid = [zs[i] for i in sorted(range(len(cols)), key=lambda i: -s[cols[i]]["k"])[:GRID_COLUMNS]]
+    points = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"), F.max(row_id).alias("last_id")).select(
+        "copies", "last_id", *[((F.col(c) - s[c]["m"]) / (s[c]["s"] or 1.0)).alias(z) for c, z in zip(cols, zs)])
+    points = settle(points.select("*", *[g.alias(f"g{i}") for i, g in enumerate(_grid(zs))]))
+    span = points.agg(*[(F.max(z) - F.min(z)).alias(z) for z in zs]).first()
+    widest = sum(v * v for v in span) ** 0.5
     need = floor((n - 1) * SHARE) + 2
-    reach = FLOOR
+    reach = _first_reach(points)
+    asks = points.select("*", F.lit(None).cast("double").alias("nearest"), F.lit(None).cast("struct<d:double,id_b:bigint>").alias("later"))
+    parts: list[DataFrame] = []
     while True:
-        near = settle(_neighbours(points, zs, grid, reach))
-        known = points.join(near, points["last_id"] == near["id_a"], "left").select(
-            F.when(F.col("copies") > 1, 0.0).otherwise(F.col("nearest")).alias("d"), F.col("copies").alias("w")).where("d IS NOT NULL")
+        found = _neighbours(asks, points, zs, reach)
+        state = settle(asks.join(found, asks["last_id"] == found["id_a"], "left").select(
+            *points.columns, F.coalesce("nearest", "_nearest").alias("nearest"), F.coalesce("later", F.struct(F.col("_later.d").alias("d"), F.col("_later.id_b").cast("bigint").alias("id_b"))).alias("later")
+        ).withColumn("later", F.when(F.col("later.id_b").isNotNull(), F.col("later"))))
+        complete = F.col("nearest").isNotNull() & F.col("later").isNotNull()
+        parts.append(state.where(complete))
+        asks = state.where(~complete)
+        near = reduce(lambda x, y: x.unionByName(y), parts, asks)
+        known = near.select(F.when(F.col("copies") > 1, 0.0).otherwise(F.col("nearest")).alias("d"), F.col("copies").alias("w")).where("d IS NOT NULL")
         have = known.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
-        if have >= min(need, n) or reach > 1e3:
+        if reach >= FLOOR and (have >= min(need, n) or reach > widest):
             break
         reach *= 2
     # The wanted rank lies among the known distances; the rest only counts.
@@ -71,7 +102,7 @@ def near_duplicate_rows(df: DataFrame, row_id: str, cols: Sequence[str], exact:
     p5 = grouped_quantiles(known, [], "d", {"q": min(1.0, at / max(have - 1, 1))}, weight="w").first()
     limit = max(FLOOR, p5["q"] if p5 else FLOOR)
     pairs = near.where(F.col("later").isNotNull() & (F.col("later.d") <= limit)).select(
-        F.col("id_a").alias("first_id"), F.col("later.id_b").alias("second_id"), F.round("later.d", 4).alias("distance"))
+        F.col("last_id").alias("first_id"), F.col("later.id_b").alias("second_id"), F.round("later.d", 4).alias("distance"))
     if not exact:
         return pairs
     copies = with_previous(rows.withColumn("_h", F.xxhash64(*cols)), ["_h", *cols], row_id).where("prev IS NOT NULL").select(

@@ -54,3 +54,24 @@ def test_near_rows_match_brute_force(spark):
     limit = max(0.05, np.quantile(d.min(1), 0.05))
     want = {(i, i + 1 + int(np.argmin(d[i, i + 1:]))) for i in range(99, 299) if d[i, i + 1:].min() <= limit}
     assert {p for p in got if p[0] >= 99} == want
+
+
+def test_near_rows_with_a_third_in_one_cell(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(5)
+    far = rng.normal(size=(600, 5))
+    dense = rng.normal(size=(300, 5)) * 1e-3 + 0.5
+    x = np.vstack([far, dense])
+    df = spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(x)], "id bigint, a double, b double, c double, d double, e double")
+    got = {r["first_id"]: (r["second_id"], r["distance"]) for r in sm.near_duplicate_rows(df, "id", ["a", "b", "c", "d", "e"]).collect()}
+    z = (x - x.mean(0)) / x.std(0)
+    dist = np.sqrt(((z[:, None] - z[None]) ** 2).sum(-1))
+    np.fill_diagonal(dist, np.inf)
+    limit = max(0.05, np.quantile(dist.min(1), 0.05))
+    want = {}
+    for i in range(len(x) - 1):
+        j = i + 1 + int(np.argmin(dist[i, i + 1:]))
+        if dist[i, j] <= limit:
+            want[i] = (j, round(float(dist[i, j]), 4))
+    assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
