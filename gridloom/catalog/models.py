@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.catalog.base import query
 from gridloom.operators import automl, isolation, similar
+from gridloom.session import ensure_checkpoint_dir
 
 
 @query("isolation_forest_events", "STA-30")
@@ -84,20 +87,19 @@ def _(t):
 
 @query("model_leaderboard_classes", "ML-03")
 def _(t):
-    return automl.train_models(_labelled(t), "doc_id", "quality", ["Logistic Regression", "Ridge Classifier"]).leaderboard
+    return automl.train_models(_labelled(t), "doc_id", "quality").leaderboard
 
 
 @query("model_leaderboard_numbers", "ML-03")
 def _(t):
     d = t.customer.join(t.orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("orders"), F.sum("o_totalprice").alias("spend_total")), F.col("c_custkey") == F.col("o_custkey"))
-    return automl.train_models(d.select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey", "orders", "spend_total"), "c_custkey", "spend_total",
-                               ["Linear Regression", "Ridge"]).leaderboard
+    return automl.train_models(d.select("c_custkey", "c_mktsegment", "c_acctbal", "c_nationkey", "orders", "spend_total"), "c_custkey", "spend_total").leaderboard
 
 
 @query("model_permutation_importance", "ML-04")
 def _(t):
-    m = automl.train_models(_labelled(t).drop("lang", "source"), "doc_id", "quality", ["Logistic Regression"], folds=1)
-    return automl.permutation_importance(m, "doc_id", repeats=1)
+    m = automl.train_models(_labelled(t), "doc_id", "quality", ["Logistic Regression"], folds=1)
+    return automl.permutation_importance(m, "doc_id")
 
 
 @query("model_confusion_matrix", "ML-05")
@@ -110,4 +112,6 @@ def _(t):
     d = _labelled(t)
     m = automl.train_models(d, "doc_id", "quality", ["Logistic Regression"], folds=1)
     p = automl.prepare(d, "doc_id", "quality")
-    return automl.score_rows(m.best, p.data, m.labels).select("doc_id", "predicted", "class_confidence")
+    path = f"{ensure_checkpoint_dir(t.spark).rstrip('/')}/model-{uuid.uuid4().hex}"
+    automl.save_model(m.best, path)
+    return automl.score_rows(automl.load_model(path), p.data, m.labels).select("doc_id", "predicted", "class_confidence")
