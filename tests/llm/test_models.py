@@ -125,3 +125,44 @@ def test_training_lifts_the_likelihood(spark):
     coded = [trained.words.coded(t.encode()) for (t,) in docs.limit(100).collect()]
     assert trained.log_likelihood(coded).sum() > blank.log_likelihood(coded).sum() * 0.95
     assert op6_masked_likelihood(spark, DIR).columns == ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"]
+
+
+def test_every_word_has_its_own_share():
+    counts = {b"w%d" % i: 1 + i % 7 for i in range(300)}
+    hashed = np.zeros(20, np.int64)
+    for w, n in counts.items():
+        hashed[scoring.crc32(w) % 20] += n
+    network = scoring.WindowNetwork(scoring.Words.of([(b"the", 900), (b"a", 700)], 0, 0, hashed))
+    network.inner = np.random.default_rng(3).standard_normal(network.inner.shape).astype(np.float32)
+    leaf = network.words.coded(b" ".join(counts))
+    assert network.words.is_hashed(leaf).all() and len(set(leaf)) == 20 and not network.words.is_hashed(network.words.coded(b"The a")).any()
+    ids = np.array([scoring.RARE, *range(2, network.words.size)])
+    place, _, _, _, score = network.turns(ids, network.states(np.full((4, len(ids)), 2)))
+    p = np.bincount(place, weights=-np.log1p(np.exp(-score))) - network.words.shared[ids]
+    of = dict(zip(ids.tolist(), p))
+    seen = sum(n * np.exp(of[i]) for i, n in zip(leaf.tolist(), counts.values()))
+    unseen = sum(np.exp(of[i]) for i in set(leaf.tolist()))
+    assert seen + unseen + sum(np.exp(of[i]) for i in (scoring.RARE, 2, 3)) == pytest.approx(1, abs=1e-5)
+
+
+def test_words_outside_the_head_are_scored_by_their_counts(spark):
+    often = " ".join(f"often{i % 40}" for i in range(400))
+    docs = spark.createDataFrame([(i, f"{often} mid mid mid rare{i}") for i in range(30)] + [(30, None), (31, ""), (5, f"{often} mid mid mid rare5")], "doc_id long, text string")
+    network = scoring.train(docs, vocabulary=10)
+    assert 10 < network.words.size and network.words.hashed.sum() > 0
+    table = {bytes(r["word"]): r["n"] for r in scoring.word_counts(docs).collect()}
+    got = scoring.score_documents(docs, network).collect()
+    assert len(got) == 33
+    for r in got:
+        coded = network.words.coded((r["text"] or "").encode())
+        own = sum(np.log(table[w]) for w in scoring.fold((r["text"] or "").encode()) if w not in network.words.ids)
+        assert r["log_likelihood"] == pytest.approx(network.log_likelihood([coded])[0] + own, abs=1e-4)
+
+
+def test_the_fit_does_not_depend_on_partitions(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").limit(300)
+    docs = docs.union(docs.limit(20)).union(docs.filter("doc_id = 3")).localCheckpoint()
+    runs = [{(r["doc_id"], r["n_tokens"], r["log_likelihood"]) for r in scoring.likelihood_report(d).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text"))]
+    assert {x[:2] for x in runs[0]} == {x[:2] for x in runs[1]}
+    a, b = ({x[0]: x[2] for x in r} for r in runs)
+    assert all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
