@@ -36,8 +36,9 @@ def _(t):
 
 @query("near_duplicate_embeddings", "STA-31")
 def _(t):
-    first = t.embeddings.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(8)])
-    return similar.near_duplicate_rows(first, "vec_id", [f"e{i}" for i in range(8)])
+    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
+    whole = t.embeddings.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
+    return similar.near_duplicate_rows(whole, "vec_id", [f"e{i}" for i in range(width)])
 
 
 @query("near_duplicate_explanation", "STA-31", f"""WITH n AS ({_NEAR})

@@ -75,3 +75,21 @@ def test_near_rows_with_a_third_in_one_cell(spark):
         if dist[i, j] <= limit:
             want[i] = (j, round(float(dist[i, j]), 4))
     assert got.keys() == want.keys() and all(got[i][0] == want[i][0] and abs(got[i][1] - want[i][1]) < 1e-4 for i in want)
+
+
+def test_near_duplicate_embeddings_read_whole_vectors(spark, tmp_path):
+    import numpy as np
+
+    import __spark_entry__
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(60, 12))
+    x[30:40] = x[:10] + rng.normal(size=(10, 12)) * 0.004
+    x[40:50, :8] = x[10:20, :8]  # equal in the first eight components only
+    spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)) + np.where(np.eye(60) > 0, np.inf, 0)
+    limit = max(0.05, np.quantile(d.min(axis=1), 0.05))
+    want = {(i, j, round(d[i, j], 4)) for i in range(59) for j in [i + 1 + int(d[i, i + 1 :].argmin())] if d[i, j] <= limit}
+    got = {tuple(r) for r in __spark_entry__.queries()["near_duplicate_embeddings"](spark, str(tmp_path)).collect()}
+    assert want and {g[:2] for g in got} == {w[:2] for w in want}
