@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm import capfilters, chat, decontaminate, langid, linededup, mixing, quality, scoring, sharding, simhash
+from gridloom.llm import alignment, capfilters, chat, decontaminate, langid, linededup, mixing, quality, scoring, sharding, simhash, spelling, toxicity
 from gridloom.tables import load
 
 
@@ -57,8 +57,20 @@ def op10_cap_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return capfilters.link_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op11_ftrl_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity_report(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
+def op12_trie_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_report(load(spark, sf_dir, "documents"))
+
+
+def op13_pointer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment_report(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_chat_formatting, op2_benchmark_decontamination, op3_jump_sharding, op4_simhash_golay, op5_line_windows, op6_masked_likelihood, op7_byte_language_id, op8_pairwise_quality, op9_source_mixing, op10_cap_filters]
+    found = [op1_chat_formatting, op2_benchmark_decontamination, op3_jump_sharding, op4_simhash_golay, op5_line_windows, op6_masked_likelihood, op7_byte_language_id, op8_pairwise_quality, op9_source_mixing, op10_cap_filters, op11_ftrl_toxicity, op12_trie_spelling, op13_pointer_alignment]
     return {f.__name__: f for f in found}
 
 
@@ -136,5 +148,28 @@ FROM v LEFT JOIN comp USING (r) LEFT JOIN n USING (r)
 """
 
 
+OP12 = r"""
+WITH RECURSIVE steps AS (SELECT i, 0 AS k, i AS c FROM range(256) t(i)
+  UNION ALL SELECT i, k + 1, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END FROM steps WHERE k < 8),
+crc AS (SELECT list(c ORDER BY i) AS t FROM steps WHERE k = 8),
+tokens AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+runs AS (SELECT doc_id, run, count(*) AS n FROM tokens WHERE length(run) >= 6 GROUP BY doc_id, run),
+bytes AS (SELECT run, n, hex(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run) AS x FROM runs),
+hashed AS (SELECT run, n, xor(list_reduce([CAST('0x' || x[2 * i + 1:2 * i + 2] AS BIGINT) FOR i IN range(length(x) // 2)],
+  lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295) AS h FROM bytes, crc),
+cut AS (SELECT CASE WHEN h % 199 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM cut WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+holes AS (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words)),
+near AS (SELECT a.word, b.word AS near, b.n AS near_n FROM holes a JOIN holes b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT a.word, b.word, b.n FROM holes a JOIN words b ON a.rest = b.word
+  UNION SELECT b.word, a.word, a.n FROM holes a JOIN words b ON a.rest = b.word),
+ranked AS (SELECT word, count(*) AS n_near, min((-near_n, near)) AS best FROM near GROUP BY word),
+formed AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN -best[1] >= 5 * n THEN best[2] END AS form,
+  CASE WHEN -best[1] >= 5 * n THEN -best[1] END AS form_n FROM words LEFT JOIN ranked USING (word)),
+chain AS (SELECT word, word AS root, 0 AS k FROM formed UNION ALL SELECT chain.word, form, k + 1 FROM chain JOIN formed ON formed.word = root WHERE form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM formed JOIN (SELECT word, arg_max(root, k) AS root FROM chain GROUP BY word) USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_formatting": OP1, "op2_benchmark_decontamination": OP2, "op5_line_windows": OP5, "op9_source_mixing": OP9, "op10_cap_filters": OP10}
+    return {"op1_chat_formatting": OP1, "op2_benchmark_decontamination": OP2, "op5_line_windows": OP5, "op9_source_mixing": OP9, "op10_cap_filters": OP10, "op12_trie_spelling": OP12}
