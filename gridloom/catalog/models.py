@@ -34,11 +34,13 @@ def _(t):
     return similar.near_duplicate_rows(t.customer, "c_custkey", ["c_acctbal", "c_nationkey"])
 
 
-@query("near_duplicate_embeddings", "STA-31")
+@query("near_duplicate_embeddings", "STA-31", """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings),
+m AS (SELECT i, avg(v[i]) AS m, stddev_pop(v[i]) AS s FROM e GROUP BY i), z AS (SELECT vec_id AS id, list((v[e.i] - m) / CASE WHEN s = 0 THEN 1 ELSE s END ORDER BY e.i) AS x FROM e JOIN m ON e.i = m.i GROUP BY vec_id),
+p AS (SELECT a.id AS i, b.id AS j, list_distance(a.x, b.x) AS d FROM z a JOIN z b ON a.id <> b.id),
+t AS (SELECT greatest(0.05, quantile_cont(d, 0.05)) AS thr FROM (SELECT min(d) AS d FROM p GROUP BY i))
+SELECT i AS first_id, arg_min(j, (d, j)) AS second_id, round(min(d), 4) AS distance FROM p, t WHERE d <= thr AND j > i GROUP BY i""")
 def _(t):
-    width = t.embeddings.agg(F.max(F.size("embedding"))).first()[0] or 0
-    whole = t.embeddings.select("vec_id", *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(width)])
-    return similar.near_duplicate_rows(whole, "vec_id", [f"e{i}" for i in range(width)])
+    return similar.near_duplicate_vectors(t.embeddings, "vec_id", "embedding")
 
 
 @query("near_duplicate_explanation", "STA-31", f"""WITH n AS ({_NEAR})

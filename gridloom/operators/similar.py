@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
-from math import floor
+from math import ceil, floor
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from gridloom.plans.metric import distances, matrix, meet, sample_nearest, settle_cells, stripes
 from gridloom.plans.ordered import grouped_quantiles, with_previous
 from gridloom.session import settle
 
@@ -39,15 +41,6 @@ def _neighbours(asks: DataFrame, points: DataFrame, zs: Sequence[str], reach: fl
     return near.groupBy("id_a").agg(F.min("d").alias("_nearest"), F.min(F.when(later, F.struct("d", "id_b"))).alias("_later"))
 
 
-def _grid(zs: Sequence[str]) -> list[Column]:
-    """Up to three coordinates that no distance stretches: the columns themselves, else fixed random directions through all
-    of them, so that points which differ in any column can be told apart."""
-    if len(zs) <= GRID_COLUMNS:
-        return [F.col(z) for z in zs]
-    directions, _ = np.linalg.qr(np.random.default_rng(0).normal(size=(len(zs), GRID_COLUMNS)))
-    return [reduce(lambda x, y: x + y, [F.lit(float(w)) * F.col(z) for w, z in zip(d, zs)]) for d in directions.T]
-
-
 def _first_reach(points: DataFrame) -> float:
     """The largest halving of the floor at which no cell holds more than a few points (the smallest one tried otherwise)."""
     gs = [c for c in points.columns if c.startswith("g")]
@@ -64,9 +57,12 @@ def near_duplicate_rows(df: DataFrame, row_id: str, cols: Sequence[str], exact:
     least 0.05. The reach starts where cells hold few points and doubles until the floor is passed and enough nearest
     distances are known to fix that percentile. A point that knows its nearest and its nearest later one asks no more, so
     in a dense cell only the few that still lack a later one go on to larger cells. Identical rows are one point; a
-    copy's partner is the next copy.
+    copy's partner is the next copy. More than three columns go to ``near_duplicate_vectors``.
     """
     cols = list(cols)
+    if len(cols) > GRID_COLUMNS:
+        vector = F.array(*[F.col(c).cast("double") for c in cols])
+        return near_duplicate_vectors(df.select(F.col(row_id), vector.alias("vec")), row_id, "vec", exact)
     rows = df.select(row_id, *[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
     s = rows.agg(F.count(F.lit(1)).alias("n"), *[F.struct(F.avg(c).alias("m"), F.stddev_pop(c).alias("s")).alias(c) for c in cols]).first()
     n = s["n"]
@@ -76,7 +72,7 @@ def near_duplicate_rows(df: DataFrame, row_id: str, cols: Sequence[str], exact:
     zs = [f"z{i}" for i in range(len(cols))]
     points = rows.groupBy(*cols).agg(F.count(F.lit(1)).alias("copies"), F.max(row_id).alias("last_id")).select(
         "copies", "last_id", *[((F.col(c) - s[c]["m"]) / (s[c]["s"] or 1.0)).alias(z) for c, z in zip(cols, zs)])
-    points = settle(points.select("*", *[g.alias(f"g{i}") for i, g in enumerate(_grid(zs))]))
+    points = settle(points.select("*", *[F.col(z).alias(f"g{i}") for i, z in enumerate(zs)]))
     span = points.agg(*[(F.max(z) - F.min(z)).alias(z) for z in zs]).first()
     widest = sum(v * v for v in span) ** 0.5
     need = floor((n - 1) * SHARE) + 2
@@ -110,6 +106,80 @@ def near_duplicate_rows(df: DataFrame, row_id: str, cols: Sequence[str], exact:
     return pairs.unionByName(copies)
 
 
+def _nearest_of_piece(asks: pa.Table, gives: pa.Table) -> pa.Table:
+    """Per asking point of a piece: distance of the nearest other point, distance and id of the nearest later one."""
+    ids, others = asks["id"].to_numpy(), gives["d_id"].to_numpy()
+    width = len((asks["vec"] if asks.num_rows else gives["d_vec"])[0])  # a piece that nobody visits has donors only
+    x, y = matrix(asks["vec"], width), matrix(gives["d_vec"], width)
+    nearest, later, later_id = np.full(len(ids), np.inf), np.full(len(ids), np.inf), np.zeros(len(ids), np.int64)
+    order = np.argsort(others, kind="stable")  # of equally near later points the first is found
+    others, y = others[order], y[order]
+    for s in stripes(len(ids)):
+        if not len(others):
+            break
+        d = distances(x[s], y)
+        d[ids[s][:, None] == others[None, :]] = np.inf
+        nearest[s] = d.min(axis=1)
+        d[ids[s][:, None] > others[None, :]] = np.inf
+        at = d.argmin(axis=1)
+        later[s], later_id[s] = d[np.arange(len(at)), at], others[at]
+    hit = np.isfinite(later)
+    return pa.table({"id": ids, "nearest": pa.array(nearest, mask=~np.isfinite(nearest)), "later": pa.array(later, mask=~hit), "later_id": pa.array(later_id, mask=~hit)})
+
+
+_PIECE = "id long, nearest double, later double, later_id long"
+
+
+def near_duplicate_vectors(df: DataFrame, row_id: str, vec: str, exact: bool = True) -> DataFrame:
+    """Each row with its nearest later near-duplicate, as ``near_duplicate_rows``, over all components of a vector column.
+
+    The vector stays one column, so no plan grows with its width. Points live in cells around pivots. A sample of points gives a
+    reach that most likely holds the 5th percentile of nearest distances; it doubles while too few are known. Each point first
+    looks into its own cell, then into the cells that its nearest later point so far, or the reach, can touch. Rows whose vector
+    is null, holds a null or has another width than the widest are left out; copies of a vector are one point. Ties go to
+    the smaller id.
+    """
+    schema = "first_id bigint, second_id bigint, distance double"
+    rows = df.select(F.col(row_id).cast("long").alias("id"), F.col(vec).cast("array<double>").alias("raw")).where(F.col("id").isNotNull() & F.col("raw").isNotNull() & ~F.exists("raw", lambda v: v.isNull() | F.isnan(v)))
+    width = rows.agg(F.max(F.size("raw"))).first()[0] or 0
+    rows = rows.where(F.size("raw") == width)
+    parts = rows.select(F.posexplode("raw").alias("place", "v")).groupBy("place").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("place").collect()
+    n = parts[0]["n"] if parts else 0
+    if n < 5:
+        return df.sparkSession.createDataFrame([], schema)
+    centre, scale = (F.array(*[F.lit(float(r[c]) if c == "m" else float(r[c]) or 1.0) for r in parts]) for c in ("m", "s"))
+    standard = F.zip_with(F.zip_with("raw", centre, lambda v, m: v - m), scale, lambda v, s: v / s)
+    points = settle(rows.groupBy("raw").agg(F.count(F.lit(1)).alias("copies"), F.max("id").alias("id")).select("id", "copies", standard.alias("vec")))
+    need = min(n, floor((n - 1) * SHARE) + 2)
+    sampled = sample_nearest(points, width)
+    # Three deviations above the wanted share of the sample.
+    at = SHARE + 3 * (SHARE * (1 - SHARE) / max(1, len(sampled))) ** 0.5
+    reach = max(FLOOR, float(sampled[min(len(sampled) - 1, ceil(at * len(sampled)))]) if len(sampled) and np.isfinite(sampled).all() else FLOOR)
+    cells, donors = settle_cells(points.select("id", "vec"), width)
+    at_home = meet(points.select("id", "vec", F.lit(0.0).alias("reach")), cells, donors, True, _nearest_of_piece, _PIECE, "id")
+    best = lambda found: found.groupBy("id").agg(
+        F.min("nearest").alias("nearest"), F.min(F.when(F.col("later").isNotNull(), F.struct("later", "later_id"))).alias("after"))
+    first = settle(best(at_home))
+    while True:
+        seekers = points.join(first, "id").select("id", "vec", F.least(F.coalesce("after.later", F.lit(reach)), F.lit(reach)).alias("reach"))
+        abroad = meet(seekers, cells, donors, False, _nearest_of_piece, _PIECE, "id")
+        whole = first.select("id", "nearest", F.col("after.later").alias("later"), F.col("after.later_id").alias("later_id")).unionByName(abroad)
+        near = settle(points.select("id", "copies").join(best(whole), "id").select("id", "copies", F.when(F.col("nearest") <= reach, F.col("nearest")).alias("nearest"), "after"))
+        known = near.select(F.when(F.col("copies") > 1, 0.0).otherwise(F.col("nearest")).alias("d"), F.col("copies").alias("w")).where("d IS NOT NULL")
+        have = known.agg(F.coalesce(F.sum("w"), F.lit(0))).first()[0]
+        if have >= need or near.where("nearest IS NULL").isEmpty():
+            break
+        reach *= 2
+    p5 = grouped_quantiles(known, [], "d", {"q": min(1.0, (n - 1) * SHARE / max(have - 1, 1))}, weight="w").first()
+    limit = max(FLOOR, p5["q"] if p5 else FLOOR)
+    pairs = near.where(F.col("after.later") <= limit).select(F.col("id").alias("first_id"), F.col("after.later_id").alias("second_id"), F.round("after.later", 4).alias("distance"))
+    if not exact:
+        return pairs
+    copies = with_previous(rows.withColumn("_h", F.xxhash64("raw")), ["_h", "raw"], "id").where("prev IS NOT NULL").select(
+        F.col("prev").alias("first_id"), F.col("id").alias("second_id"), F.lit(0.0).alias("distance"))
+    return pairs.unionByName(copies)
+
+
 def explain_pairs(df: DataFrame, pairs: DataFrame, row_id: str) -> DataFrame:
     """Per pair and differing column: both values as text, the kind of difference and the percent difference of numbers."""
     from gridloom.plans.stacked import numeric_columns

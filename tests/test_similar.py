@@ -93,3 +93,59 @@ def test_near_duplicate_embeddings_read_whole_vectors(spark, tmp_path):
     want = {(i, j, round(d[i, j], 4)) for i in range(59) for j in [i + 1 + int(d[i, i + 1 :].argmin())] if d[i, j] <= limit}
     got = {tuple(r) for r in __spark_entry__.queries()["near_duplicate_embeddings"](spark, str(tmp_path)).collect()}
     assert want and {g[:2] for g in got} == {w[:2] for w in want}
+
+
+def _brute_near(ids, x):
+    z = (x - x.mean(0)) / np.where(x.std(0) == 0, 1, x.std(0))
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    limit = max(0.05, np.quantile(d.min(1), 0.05))
+    later = np.where(ids[None, :] > ids[:, None], d, np.inf)
+    return {int(ids[i]): later[i].min() for i in range(len(ids)) if later[i].min() <= limit}
+
+
+def test_wide_vectors_match_brute_force(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(700, 100))
+    x[:40] = x[40:80] + rng.normal(size=(40, 100)) * 0.01
+    ids = rng.permutation(700)
+    rows = [(int(i), v.tolist(), "x") for i, v in zip(ids, x)] + [(-1, None, "x"), (-2, [0.5] * 3, "x"), (-3, [None] + [0.5] * 99, "x")]
+    df = spark.createDataFrame(rows, "id long, v array<double>, cell string")
+    got = sm.near_duplicate_vectors(df, "id", "v").collect()
+    want = _brute_near(ids, x)
+    assert {r["first_id"] for r in got} == set(want) and all(abs(r["distance"] - want[r["first_id"]]) < 1e-4 for r in got)
+    assert sm.near_duplicate_vectors(df.limit(0), "id", "v").count() == 0
+
+
+def test_crowded_vectors_split_and_match_brute_force(spark, monkeypatch):
+    from gridloom.plans import metric
+
+    monkeypatch.setattr(metric, "PIECE", 50)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 6)) * 3
+    x[:250] = x[0] + rng.normal(size=(250, 6)) * 1e-3  # over a third in one spot
+    x[250:300] = x[299]  # equal rows
+    x[:, 5] = 1.0
+    cols = list("abcdef")
+    pdf = pd.DataFrame(x, columns=cols).assign(id=np.arange(600))
+    got = sm.near_duplicate_rows(spark.createDataFrame(pdf), "id", cols).collect()
+    want = _brute_near(np.arange(600), x)
+    assert {(i, i + 1, 0.0) for i in range(250, 299)} <= {tuple(r) for r in got}
+    assert {r["first_id"] for r in got} == set(want) and all(abs(r["distance"] - want[r["first_id"]]) < 1e-4 for r in got)
+
+
+def test_no_cell_within_reach_is_skipped():
+    from gridloom.plans import metric
+
+    rng = np.random.default_rng(4)
+    for unknown in (0.0, 0.3):
+        x, y, p = (np.where(rng.random((n, 5)) < unknown, np.nan, rng.normal(size=(n, 5))) for n in (60, 400, 12))
+        p = np.vstack([p, np.ones((1, 5))])
+        cells = metric.Cells(p, np.zeros(13), np.zeros(13))
+        home, gap = cells.homes(y)
+        for c in range(13):
+            cells.reach[c] = gap[home == c].max() if (home == c).any() else 0.0
+        cells.open_rows = int((home == 13).sum())
+        low, _ = cells.bounds(x)
+        d = metric.distances(x, y)
+        assert (low[:, home] <= d + 1e-12).all()
