@@ -154,10 +154,62 @@ def _(t):
     return impute.impute_chained(_gaps(t).drop("prio"), "row_id", "half", ["price", "cust"])
 
 
-@query("impute_nearest_rows", "CLN-18")
+_LINE = """SELECT o_orderkey AS row_id, CASE WHEN o_orderpriority <> '1-URGENT' THEN o_totalprice END AS price, o_custkey AS cust, date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) AS day FROM orders"""
+_LINE_FIT = f"""g AS ({_LINE}), s AS (SELECT avg(price) AS mp, stddev_pop(price) AS sp, avg(cust) AS mc, stddev_pop(cust) AS sc, avg(day) AS md, stddev_pop(day) AS sd FROM g),
+z AS (SELECT row_id, price, (price - mp) / sp AS y, (cust - mc) / sc AS a, (day - md) / sd AS b FROM g, s),
+m AS (SELECT avg(a) AS ma, avg(b) AS mb, avg(y) AS my, covar_pop(a, a) + 1e-6 AS aa, covar_pop(b, b) + 1e-6 AS bb, covar_pop(a, b) AS ab, covar_pop(a, y) AS ay, covar_pop(b, y) AS bt FROM z WHERE y IS NOT NULL),
+w AS (SELECT *, (ay * bb - bt * ab) / (aa * bb - ab * ab) AS wa, (bt * aa - ay * ab) / (aa * bb - ab * ab) AS wb FROM m)"""
+
+
+def _line(t):
+    return t.orders.select(
+        F.col("o_orderkey").alias("row_id"), F.when(F.col("o_orderpriority") != "1-URGENT", F.col("o_totalprice")).alias("price"), F.col("o_custkey").alias("cust"),
+        F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date")).alias("day"))
+
+
+@query("impute_regression_normal_equations", "CLN-17", f"WITH {_LINE_FIT} SELECT row_id, round(coalesce(price, mp + sp * (my + wa * (a - ma) + wb * (b - mb))), 2) AS price FROM z, s, w")
+def _(t):
+    return impute.impute_chained(_line(t), "row_id", "price", ["cust", "day"]).select("row_id", F.round("price", 2).alias("price"))
+
+
+@query("impute_regression_lines", "CLN-17", f"""WITH {_LINE_FIT}, l AS (SELECT wa * sp / sc AS a, wb * sp / sd AS b, mp + sp * (my - wa * ma - wb * mb) AS c, mc, md FROM w, s)
+SELECT 'price' AS "column", NULL::VARCHAR AS predictor, round(c - a * mc - b * md, 4) AS weight, 1 AS rounds, true AS converged FROM l
+UNION ALL SELECT 'price', 'cust', round(a, 8), 1, true FROM l UNION ALL SELECT 'price', 'day', round(b, 8), 1, true FROM l""")
+def _(t):
+    d = _line(t)
+    lines = impute.fitted_lines(d, impute.fit_chained(d, "price", ["cust", "day"]))
+    return lines.withColumn("weight", F.when(F.col("predictor").isNull(), F.round("weight", 4)).otherwise(F.round("weight", 8)))
+
+
+def _donors_sql(source: str, target: str, cols: list[str]) -> str:
+    """All seekers against all donors, over the coordinates that both have."""
+    facts = ", ".join(f"avg({c}) AS m_{c}, CASE WHEN stddev_pop({c}) = 0 THEN 1 ELSE stddev_pop({c}) END AS s_{c}" for c in cols)
+    standard = ", ".join(f"({c} - m_{c}) / s_{c} AS {c}" for c in cols)
+    shared = " + ".join(f"(a.{c} IS NOT NULL AND b.{c} IS NOT NULL)::INT" for c in cols)
+    gap = " + ".join(f"coalesce(pow(a.{c} - b.{c}, 2), 0)" for c in cols)
+    return f"""WITH g AS ({source}), f AS (SELECT avg({target}) AS mean, {facts} FROM g), z AS (SELECT row_id, {target} AS v, {standard} FROM g, f),
+p AS (SELECT a.row_id, b.v, {shared} AS shared, {gap} AS q FROM z a JOIN z b ON a.v IS NULL AND b.v IS NOT NULL),
+l AS (SELECT row_id, round(sqrt(q * {len(cols)} / shared), 9) AS d, count(*) AS w, avg(v) AS v FROM p WHERE shared > 0 GROUP BY ALL),
+c AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY row_id ORDER BY d ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l),
+u AS (SELECT row_id, CASE WHEN min(d) = 0 THEN max(CASE WHEN d = 0 THEN v END) ELSE sum(least(w, 5 - before) / d * v) / sum(least(w, 5 - before) / d) END AS fill FROM c WHERE before < 5 GROUP BY row_id)
+SELECT row_id, round(coalesce({target}, fill, mean), 8) AS {target} FROM g LEFT JOIN u USING (row_id), f"""
+
+
+@query("impute_nearest_rows", "CLN-18", _donors_sql("SELECT c_custkey AS row_id, CASE WHEN c_mktsegment <> 'MACHINERY' THEN c_acctbal END AS balance, c_nationkey AS nation FROM customer", "balance", ["nation"]))
 def _(t):
     d = t.customer.select(F.col("c_custkey").alias("row_id"), F.when(F.col("c_mktsegment") != "MACHINERY", F.col("c_acctbal")).alias("balance"), F.col("c_nationkey").alias("nation"))
-    return impute.impute_nearest(d, "row_id", "balance", ["nation"])
+    return impute.impute_nearest(d, "row_id", "balance", ["nation"]).select("row_id", F.round("balance", 8).alias("balance"))
+
+
+@query("impute_nearest_observed", "CLN-18", _donors_sql("""SELECT o_orderkey AS row_id, CASE WHEN o_orderpriority <> '1-URGENT' OR o_orderkey % 5 <> 0 THEN o_totalprice END AS price,
+  CASE WHEN o_orderkey % 7 <> 0 THEN o_custkey END AS cust, CASE WHEN o_custkey % 4 <> 0 THEN date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE)) END AS day,
+  CASE WHEN o_orderstatus <> 'P' THEN o_orderkey % 100 END AS slot FROM orders""", "price", ["cust", "day", "slot"]))
+def _(t):
+    k = F.col("o_orderkey")
+    d = t.orders.select(
+        k.alias("row_id"), F.when((F.col("o_orderpriority") != "1-URGENT") | (k % 5 != 0), F.col("o_totalprice")).alias("price"), F.when(k % 7 != 0, F.col("o_custkey")).alias("cust"),
+        F.when(F.col("o_custkey") % 4 != 0, F.datediff(F.col("o_orderdate").cast("date"), F.lit("1992-01-01").cast("date"))).alias("day"), F.when(F.col("o_orderstatus") != "P", k % 100).alias("slot"))
+    return impute.impute_nearest(d, "row_id", "price", ["cust", "day", "slot"]).select("row_id", F.round("price", 8).alias("price"))
 
 
 def _ob(c, table):

@@ -106,10 +106,16 @@ def clean_dataset(df: DataFrame, row_id: str, mode: str = "aggressive") -> Clean
             simple = [c for c in gaps if c not in mar]
             data = cl.impute_simple(data, simple, [c for c in simple if mech.get(c) == "mnar"])
             for c in mar:
-                from gridloom.operators.impute import impute_chained, impute_nearest
+                from gridloom.operators.impute import fit_chained, impute_chained, impute_nearest
 
                 others = [n for n in nums if n not in (c, row_id)]
-                data = impute_chained(data, row_id, c, others) if len(others) >= 3 else impute_nearest(data, row_id, c, others)
+                if len(others) < 3:
+                    data = impute_nearest(data, row_id, c, others)
+                    continue
+                fit = fit_chained(data, c, others)
+                data = impute_chained(data, row_id, c, others, fit=fit)
+                if fit.caveat:
+                    note("impute", c, fit.caveat, shares[c][0], "warning")
             for c in gaps:
                 note("impute", c, f"{mech.get(c, 'mode')}: {'model' if c in mar else 'simple'}", shares[c][0], "medium")
             data = settle(data)

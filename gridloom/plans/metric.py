@@ -72,16 +72,13 @@ class Cells:
     reach: np.ndarray
     rows: np.ndarray
     open_rows: int = 0  # rows of rare patterns: cells without a pivot that everyone visits
+    blocks: np.ndarray | None = None  # blocks of every cell, the open one last
     between: np.ndarray | None = None  # made where it is used
 
     @property
     def width(self) -> int:
         return self.pivots.shape[1]
 
-    def blocks(self) -> np.ndarray:
-        """Blocks of every cell, the open one last."""
-        return np.maximum(1, np.ceil(np.append(self.rows, self.open_rows) / PIECE)).astype(np.int64)
-
     def homes(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Nearest pivot of the same pattern (the open cell if there is none) and the unscaled distance from it."""
         known_x, known_p = ~np.isnan(x), ~np.isnan(self.pivots)
@@ -163,7 +160,8 @@ def settle_cells(donors: DataFrame, width: int, members: int = 0) -> tuple[Cells
             cells = replace(cells, open_rows=r["n"])
         else:
             cells.reach[r["cell"]], cells.rows[r["cell"]] = r["reach"], r["n"]
-    blocks = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(cells.blocks())], "cell int, blocks int"))
+    cells.blocks = np.maximum(1, np.ceil(np.append(cells.rows, cells.open_rows) / PIECE)).astype(np.int64)
+    blocks = F.broadcast(spark.createDataFrame([(i, int(b)) for i, b in enumerate(cells.blocks)], "cell int, blocks int"))
     return cells, placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec", F.lit(1)), "blocks").cast("int")).drop("gap", "blocks")
 
 
@@ -180,7 +178,7 @@ def meet(seekers: DataFrame, cells: Cells, donors: DataFrame, home: bool, found:
     out = T.StructType([*fields, T.StructField("cell", T.IntegerType()), T.StructField("block", T.IntegerType())])
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, blocks = shared.value, shared.value.blocks()
+        known, blocks = shared.value, shared.value.blocks
         for whole in batches:
             for s in stripes(whole.num_rows, 512):
                 batch = whole.slice(s.start, s.stop - s.start)
