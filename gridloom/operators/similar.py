@@ -203,6 +203,8 @@ def explain_pairs(df: DataFrame, pairs: DataFrame, row_id: str) -> DataFrame:
 
 THRESHOLD = 85.0
 SHORT, LONG = 11, 5
+#: A token that more texts than this would meet on is joined by the next shared one, up to so many tokens.
+HOT, LEVELS = 64, 4
 
 
 def common_length(a: str, b: str) -> int:
@@ -234,42 +236,69 @@ def sorted_words(c):
     return F.array_join(F.array_sort(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")), " ")
 
 
+def _numbered_grams(vals: DataFrame, q: int) -> DataFrame:
+    """(vid, len, token): the q-grams of a text, the second one of a kind numbered 2 and so on, so that sets count repeats."""
+    grams = vals.select("vid", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - (q - 1)), lambda i: F.substr("text", i, F.lit(q)))).alias("gram"))
+    return grams.groupBy("vid", "len", "gram").agg(F.count(F.lit(1)).alias("k")).select(
+        "vid", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda i: F.concat_ws("#", "gram", i.cast("string")))).alias("token"))
+
+
 def _candidates(vals: DataFrame, q: int) -> DataFrame:
-    """Pairs that share a token of their rare-token prefixes.
+    """Pairs that share the rare tokens which similar texts must share.
 
     Tokens are the numbered q-grams of the sorted text. Two texts at 85 or above share at least ``t`` of them (85 % of
-    the characters; with bigrams each edit spoils at most two), so they agree on a token among each one's rarest
-    ``count - t + 1``. Rare tokens first keeps common ones out of the join.
+    the characters; with bigrams each edit spoils at most two), so the j-th rarest they share is among each one's rarest
+    ``count - t + j``. Texts meet on the rarest shared token; where more than HOT texts have one there, they meet on it and
+    the next shared one instead, and so on, so that a word which all values have joins nobody with everybody.
     """
     ratio = THRESHOLD / 100
     shortest = ratio / (2 - ratio)  # a partner is at least this share of the length
     d = vals.where(F.col("len") <= SHORT) if q == 1 else vals.where(F.col("len") >= LONG)
-    grams = d.select("vid", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("len") - (q - 1)), lambda i: F.substr("text", i, F.lit(q)))).alias("gram"))
-    tokens = grams.groupBy("vid", "len", "gram").agg(F.count(F.lit(1)).alias("k")).select(
-        "vid", "len", F.explode(F.transform(F.sequence(F.lit(1), F.col("k").cast("int")), lambda i: F.concat_ws("#", "gram", i.cast("string")))).alias("token"))
+    tokens = _numbered_grams(d, q)
     freq = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("f"))
     share = ratio / 2 * (1 + shortest)
     t = F.ceil(F.col("len") * share - 1e-9) if q == 1 else F.ceil(F.col("len") * (3 * ratio / 2 - 1) * (1 + shortest) - 1 - 1e-9)
-    size = F.col("len") - (q - 1)
-    keep = (size - F.greatest(t, F.lit(1)) + 1).cast("int")
-    # A text's own tokens, at most its length.
-    rare = tokens.join(freq, "token").groupBy("vid", "len").agg(F.array_sort(F.collect_list(F.struct("f", "token"))).alias("ts")).select(
-        "vid", "len", F.explode(F.slice("ts", 1, keep)).alias("s")).select("vid", "len", "s.token")
-    a = rare.select(F.col("vid").alias("a"), F.col("len").alias("la"), "token")
-    b = rare.select(F.col("vid").alias("b"), F.col("len").alias("lb"), "token")
-    fits = (F.col("a") < F.col("b")) & (F.least("la", "lb") >= F.greatest("la", "lb") * shortest - 1e-9)
-    return a.join(b, "token").where(fits).select("a", "b").distinct()
+    # A text's own tokens, at most its length, from the rarest on.
+    ordered = tokens.join(freq, "token").groupBy("vid", "len").agg(F.transform(F.array_sort(F.collect_list(F.struct("f", "token"))), lambda s: s["token"]).alias("ts")).select(
+        "vid", "len", "ts", F.greatest(t, F.lit(1)).cast("int").alias("t"))
+    upto = lambda j: F.least(F.size("ts"), F.size("ts") - F.col("t") + j)
+    rows = settle(ordered.select("*", F.posexplode(F.slice("ts", 1, upto(1))).alias("at", "key")))
+    parts = []
+    for level in range(1, LEVELS + 1):
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        rows = settle(rows.join(counts, "key"))
+        hot = (F.col("n") > HOT) & F.lit(level < LEVELS)
+        # Texts that need no further shared token stay too; they are short, so few of them are different.
+        parts.append(_meeting(rows.where(~hot | (F.col("t") <= level)), shortest))
+        rows = rows.where(hot).drop("n")
+        if level == LEVELS or rows.isEmpty():
+            break
+        further = F.slice("ts", F.col("at") + 2, F.greatest(F.lit(0), upto(level + 1) - F.col("at") - 1))
+        rows = settle(rows.select("vid", "len", "ts", "t", F.col("at").alias("before"), "key", F.posexplode(further).alias("step", "token")).select(
+            "vid", "len", "ts", "t", (F.col("before") + 1 + F.col("step")).alias("at"), F.concat_ws("\u0001", "key", "token").alias("key")))
+    return reduce(lambda x, y: x.union(y), parts).distinct()
+
+
+def _meeting(rows: DataFrame, shortest: float) -> DataFrame:
+    a = rows.select(F.col("vid").alias("a"), F.col("len").alias("la"), "key")
+    b = rows.select(F.col("vid").alias("b"), F.col("len").alias("lb"), "key")
+    return a.join(b, "key").where((F.col("a") < F.col("b")) & (F.least("la", "lb") >= F.greatest("la", "lb") * shortest - 1e-9)).select("a", "b")
 
 
 def similar_texts(df: DataFrame, col: str, row_id: str) -> DataFrame:
-    """All pairs of distinct values of a column with token-sorted similarity of 85 or more; ``a`` occurs first."""
+    """All pairs of distinct values of a column with token-sorted similarity of 85 or more; ``a`` occurs first.
+
+    Candidates whose characters, whatever their order, can't reach 85 are dropped in the JVM; the rest is compared in batches.
+    """
     vals = df.where(F.col(col).isNotNull()).groupBy(F.col(col).alias("value")).agg(F.min(row_id).alias("vid")).select(
         "vid", "value", sorted_words(F.col("value")).alias("text")).withColumn("len", F.length("text"))
     vals = settle(vals.where("len > 0"))
     pairs = _candidates(vals, 1).union(_candidates(vals, 2)).distinct()
-    x, y = vals.select(F.col("vid").alias("a"), F.col("value").alias("value_a"), F.col("text").alias("ta")), vals.select(
-        F.col("vid").alias("b"), F.col("value").alias("value_b"), F.col("text").alias("tb"))
-    j = pairs.join(x, "a").join(y, "b").withColumn("score", similarity_column("ta", "tb"))
+    bags = vals.join(_numbered_grams(vals, 1).groupBy("vid").agg(F.collect_list("token").alias("bag")), "vid")
+    x, y = bags.select(F.col("vid").alias("a"), F.col("value").alias("value_a"), F.col("text").alias("ta"), F.col("bag").alias("bag_a")), bags.select(
+        F.col("vid").alias("b"), F.col("value").alias("value_b"), F.col("text").alias("tb"), F.col("bag").alias("bag_b"))
+    able = 200 * F.size(F.array_intersect("bag_a", "bag_b")) >= THRESHOLD * (F.size("bag_a") + F.size("bag_b"))
+    j = pairs.join(x, "a").join(y, "b").where(able).select("a", "b", "value_a", "value_b", similarity_column("ta", "tb").alias("score"))
     return j.where(F.col("score") >= THRESHOLD).select("a", "b", "value_a", "value_b", F.round("score", 1).alias("score"))
 
 

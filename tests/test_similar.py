@@ -5,6 +5,8 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 
+from pyspark.sql import functions as F
+
 from gridloom.operators import similar as sm
 
 
@@ -149,3 +151,35 @@ def test_no_cell_within_reach_is_skipped():
         low, _ = cells.bounds(x)
         d = metric.distances(x, y)
         assert (low[:, home] <= d + 1e-12).all()
+
+
+def test_word_shared_by_all_values(spark, monkeypatch):
+    monkeypatch.setattr(sm, "HOT", 5)
+    rng = np.random.default_rng(11)
+    texts = [f"incorporated {''.join(rng.choice(list('abcdefghij'), rng.integers(2, 9)))}" for _ in range(150)]
+    texts += [t[:-1] + "z" for t in texts[:60]] + [f"{''.join(rng.choice(list('abc'), rng.integers(1, 6)))}" for _ in range(60)]
+    pdf = pd.DataFrame({"id": range(len(texts)), "t": texts})
+    got = {(r["a"], r["b"]) for r in sm.similar_texts(spark.createDataFrame(pdf), "t", "id").collect()}
+    first = pdf.groupby("t").id.min()
+    norm = {v: " ".join(sorted(t.split())) for t, v in first.items()}
+    want = {(a, b) for a, b in combinations(sorted(norm), 2) if 200 * sm.common_length(norm[a], norm[b]) / (len(norm[a]) + len(norm[b])) >= 85}
+    assert got == want and len(want) > 50
+
+
+def test_frequent_words_meet_on_several_tokens(spark, monkeypatch):
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 8)) for _ in range(24)]
+    texts = sorted({" ".join(sorted(rng.choice(words, 4, replace=False))) for _ in range(700)})
+    vals = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "vid long, text string").withColumn("len", F.length("text")).cache()
+    few = {tuple(r) for r in sm._candidates(vals, 2).collect()}
+    monkeypatch.setattr(sm, "HOT", 10**9)
+    many = {tuple(r) for r in sm._candidates(vals, 2).collect()}
+    like = {(a, b) for (a, x), (b, y) in combinations(enumerate(texts), 2) if 200 * sm.common_length(x, y) / (len(x) + len(y)) >= 85}
+    assert like <= few < many
+
+
+def test_similar_texts_of_awkward_tables(spark):
+    rows = [(1, None), (2, ""), (3, "   "), (4, "a"), (5, "a"), (6, "A"), (7, "x" * 3000), (8, "x" * 2999 + "y"), (None, "lone value"), (9, "lone  value")]
+    df = spark.createDataFrame(rows, "id long, value string").withColumn("len", F.lit("clash"))
+    assert {(r["a"], r["b"]) for r in sm.similar_texts(df, "value", "id").collect()} == {(7, 8)}
+    assert sm.fuzzy_groups(df.limit(0), "value", "id").count() == 0
