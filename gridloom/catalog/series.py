@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom.catalog import sqltails as tail
 from gridloom.catalog.base import query
-from gridloom.operators import panel as pn, sampling, series as ts
+from gridloom.operators import holt, panel as pn, sampling, series as ts
 
 _P = "p AS (SELECT o_orderdate AS date, avg(o_totalprice) AS value FROM orders GROUP BY 1), s AS (SELECT *, row_number() OVER (ORDER BY date) AS pos, count(*) OVER () AS n FROM p)"
 
@@ -135,6 +135,35 @@ def _(t):
     return ts.drift_forecast(_pts(t))
 
 
+_HOLT = """WITH RECURSIVE p AS (SELECT o_orderstatus AS k, date_trunc('week', CAST(o_orderdate AS DATE)) AS date, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),
+s AS (SELECT k, value, row_number() OVER (PARTITION BY k ORDER BY date) AS pos, count(*) OVER (PARTITION BY k) AS n FROM p),
+grid AS (SELECT a, b, phi FROM unnest([0.05, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) t(a), unnest([0.01, 0.05, 0.1, 0.3, 0.5]) u(b), unnest([0.8, 0.9, 0.98]) v(phi)),
+h AS (SELECT x.k, CAST(a AS DOUBLE) AS a, CAST(b AS DOUBLE) AS b, CAST(phi AS DOUBLE) AS phi, CAST(1 AS BIGINT) AS pos, x.n, x.value AS level, y.value - x.value AS trend, CAST(0 AS DOUBLE) AS sse, CAST(0 AS DOUBLE) AS es
+  FROM s x JOIN s y ON x.k = y.k AND x.pos = 1 AND y.pos = 2, grid WHERE x.n >= 10
+  UNION ALL SELECT h.k, a, b, phi, s.pos, h.n, level + phi * trend + a * (s.value - level - phi * trend),
+    b * (phi * trend + a * (s.value - level - phi * trend)) + (1 - b) * phi * trend, sse + pow(s.value - level - phi * trend, 2), es + s.value - level - phi * trend
+  FROM h JOIN s ON s.k = h.k AND s.pos = h.pos + 1),
+best AS (SELECT k, arg_min({'a': a, 'b': b, 'phi': phi, 'n': n, 'level': level, 'trend': trend, 'sse': sse, 'es': es}, sse) AS f FROM h WHERE pos = n GROUP BY k),
+fits AS (SELECT k, f.*, sqrt((f.sse - f.es * f.es / (f.n - 1)) / (f.n - 2)) AS sd FROM best)"""
+
+
+def _weekly(t):
+    return ts.points(t.orders.withColumn("week", F.date_trunc("week", "o_orderdate").cast("date")), "week", "o_totalprice", "mean", ["o_orderstatus"])
+
+
+@query("ts_holt_fit_by_status", "WIN-11", _HOLT + """ SELECT k AS o_orderstatus, n, a AS alpha, b AS beta, phi, round(level, 2) AS level, round(trend, 2) AS trend, round(sd, 2) AS deviation FROM fits""")
+def _(t):
+    f = holt.fit_holt(_weekly(t), ["o_orderstatus"])
+    return f.select("o_orderstatus", "n", "alpha", "beta", "phi", *[F.round(c, 2).alias(c) for c in ("level", "trend", "deviation")])
+
+
+@query("ts_holt_forecast_by_status", "WIN-11", _HOLT + """, x AS (SELECT *, unnest(range(1, least(30, greatest(7, n // 4)) + 1)) AS step FROM fits),
+y AS (SELECT *, level + trend * phi * (1 - pow(phi, step)) / (1 - phi) AS forecast FROM x)
+SELECT k AS o_orderstatus, step, round(forecast, 4) AS forecast, round(forecast - 1.28 * sd * sqrt(step), 4) AS lower_80, round(forecast + 1.28 * sd * sqrt(step), 4) AS upper_80, 'damped_holt' AS model_used FROM y""")
+def _(t):
+    return holt.holt_forecast(_weekly(t), ["o_orderstatus"])
+
+
 @query("ts_drift_forecast_by_status", "WIN-11", """WITH p AS (SELECT o_orderstatus AS k, o_orderdate AS date, avg(o_totalprice) AS value FROM orders GROUP BY 1, 2),
 s AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY date) AS pos, count(*) OVER (PARTITION BY k) AS n FROM p),
 l AS (SELECT k, arg_max(value, pos) AS last, arg_max(value, pos) FILTER (pos < n) AS prev, stddev_samp(value) AS sd, any_value(n) AS n FROM s GROUP BY k),

@@ -239,6 +239,8 @@ def summary(pts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def run_timeseries(df: DataFrame, date: str, value: str, how: str = "mean") -> dict[str, DataFrame]:
     """All result tables of one series; the frequency (one label) is read first to fix lag and period."""
+    from gridloom.operators.holt import holt_forecast
+
     pts = points(df, date, value, how)
     freq = frequency(pts)
     label = freq.first()["frequency"]
@@ -250,5 +252,5 @@ def run_timeseries(df: DataFrame, date: str, value: str, how: str = "mean") -> d
         "frequency": freq, "gaps": gaps(pts), "moving_averages": moving_averages(pts), "trend": trend(pts),
         "decomposition": robust_anomalies(parts, "residual"), "change_points": change_points(pts),
         "seasonality": seasonality(pts, SEASONAL_LAG.get(label, 7)), "stationarity": stationarity(pts),
-        "forecast": drift_forecast(pts), "summary": summary(pts),
+        "forecast": holt_forecast(pts), "summary": summary(pts),
     }
