@@ -180,12 +180,20 @@ def semantic_columns(df: DataFrame) -> dict[str, str]:
 
 # --- types ---------------------------------------------------------------------------------------------------------------
 
+#: Every text that can be cast to a double, and few others: a cast that fails costs more than all other tests together.
+READABLE = r"^[\x00-\x20]*[-+]?((\d+\.?\d*|\.\d+)([eE][-+]?\d+)?[dDfF]?|0[xX]\S*|[iInN]\S*)[\x00-\x20]*$"
+
+
+def read_double(text: Column) -> Column:
+    return F.when(text.rlike(READABLE), text.try_cast("double"))
+
+
 def currency_value(c: str) -> Column:
-    return F.regexp_replace(F.regexp_replace(c, r"[€$£¥₹,\s]", ""), r"[()]", "").try_cast("double")
+    return read_double(F.regexp_replace(c, r"[€$£¥₹,\s()]", ""))
 
 
 def percent_value(c: str) -> Column:
-    return F.regexp_replace(c, r"\s*%", "").try_cast("double")
+    return read_double(F.regexp_replace(c, r"\s*%", ""))
 
 
 def type_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -204,7 +212,7 @@ def type_rates(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
         F.count(F.lit(1)).alias("filled"), share(F.col("value").rlike(CURRENCY)).alias("currency"),
         share(currency_value("value").isNotNull()).alias("currency_read"), share(F.col("value").rlike(r"[€$£¥₹,]")).alias("symbol"),
         share(F.col("value").rlike(PERCENT)).alias("percent"), share(percent_value("value").isNotNull()).alias("percent_read"),
-        share(F.trim("value").try_cast("double").isNotNull()).alias("number"), share(any_date).alias("any_date"), frequent.alias("date_formats"))
+        share(read_double(F.trim("value")).isNotNull()).alias("number"), share(any_date).alias("any_date"), frequent.alias("date_formats"))
     every = df.sparkSession.createDataFrame([(c,) for c in cols], "column string")
     return every.join(found, "column", "left").na.fill(0)
 
@@ -221,7 +229,7 @@ def type_decisions(rates: DataFrame) -> DataFrame:
 
 def retype(df: DataFrame, targets: dict[str, str]) -> DataFrame:
     """All retyped columns in one projection."""
-    how = {"currency": currency_value, "percent": percent_value, "number": lambda c: F.regexp_replace(F.trim(c), ",", "").try_cast("double"),
+    how = {"currency": currency_value, "percent": percent_value, "number": lambda c: read_double(F.regexp_replace(F.trim(c), ",", "")),
            "mixed_dates": parse_dates, "date": parse_dates}
     new = {c: how[t](c) for c, t in targets.items() if t in how}
     return df.withColumns(new) if new else df

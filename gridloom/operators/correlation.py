@@ -69,40 +69,53 @@ def _pack(rows: DataFrame, items: Sequence[Column]) -> DataFrame:
     return packed.select(F.inline(F.array(*[f"_{i}" for i in range(len(items))])))
 
 
+def _pair_ranks(df: DataFrame, cols: Sequence[str], gaps: Sequence[str]) -> DataFrame:
+    """(key, value, rank): average ranks of each column's values among the rows that know a partner with nulls.
+
+    key = column * (gaps + 1) + variant; variant 0 is all rows that know the column, variant j those that also know the j-th
+    column with nulls. All columns and variants are counted in one pass by (column, value, null pattern) and ranked by one range
+    shuffle of those counts.
+    """
+    width = len(gaps) + 1
+    pattern = F.concat(F.lit(""), *[F.when(F.col(g).isNull(), "0").otherwise("1") for g in gaps])
+    cells = F.array(*[F.struct(F.lit(i).alias("c"), F.lit(gaps.index(c) + 1 if c in gaps else 0).alias("own"), F.col(c).alias("value")) for i, c in enumerate(cols)])
+    counts = df.select(pattern.alias("pattern"), F.inline(cells)).where("value IS NOT NULL").groupBy("c", "own", "value", "pattern").agg(F.count(F.lit(1)).alias("n"))
+    known = F.filter(F.sequence(F.lit(0), F.lit(len(gaps))), lambda j: (j == 0) | ((F.substr(F.col("pattern"), j, F.lit(1)) == "1") & (j != F.col("own"))))
+    variants = settle(counts.select("c", "value", "n", F.explode(known).alias("j")).groupBy((F.col("c") * width + F.col("j")).alias("key"), "value").agg(F.sum("n").alias("n")))
+    placed = running_before(variants, ["key"], "value", "n", few_keys=True)
+    return settle(placed.select("key", "value", (F.col("before") + (F.col("n") + 1) / 2.0).alias("rank")))
+
+
 def pair_correlations(df: DataFrame, cols: Sequence[str], derived: bool = False) -> DataFrame:
     """Pearson, Spearman, pairwise n and column skew of every pair, in upper-triangle order.
 
-    Pearson needs one aggregate. Columns without nulls share one ranking for Spearman; a pair with nulls is ranked
-    on its own complete rows. ``derived`` says that ``df`` is itself costly to compute and should be kept once.
+    Pearson needs one aggregate. For Spearman each pair is ranked on its own complete rows, all of them at once (see
+    ``_pair_ranks``); the ranks are joined to the rows once a column, whatever the number of pairs. ``derived`` says that ``df``
+    is itself costly to compute and should be kept once.
     """
     cols = list(cols)
     df = df.select(*[clean_number(c).alias(c) for c in cols])
     if derived:
         df = settle(df)
     nulls = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols]).first()
-    whole = [c for c in cols if nulls[c] == 0]
-    ranked = attach_ranks(df, whole)
-    pairs = list(combinations(cols, 2))
+    gaps = [c for c in cols if nulls[c]]
+    width, ranks = len(gaps) + 1, _pair_ranks(df, cols, gaps)
+    ranked = df.select(*[F.col(c).alias(f"v{i}") for i, c in enumerate(cols)])
+    for i in range(len(cols)):
+        mine = ranks.where(F.col("key").between(i * width, i * width + width - 1))
+        wide = mine.groupBy("value").agg(*[F.max(F.when(F.col("key") == i * width + j, F.col("rank"))).alias(f"r{i}_{j}") for j in range(width)])
+        ranked = ranked.join(wide, F.col(f"v{i}") == F.col("value"), "left").drop("value")
+    variant = lambda c: gaps.index(c) + 1 if c in gaps else 0
     items = []
-    for i, (a, b) in enumerate(pairs):
-        ok = F.col(a).isNotNull() & F.col(b).isNotNull()
-        rho = correlation_of(f"_rk_{a}", f"_rk_{b}") if a in whole and b in whole else F.lit(None).cast("double")
+    for k, ((i, a), (j, b)) in enumerate(combinations(enumerate(cols), 2)):
+        x, y = F.col(f"v{i}"), F.col(f"v{j}")
+        ok = x.isNotNull() & y.isNotNull()
         items.append(F.struct(
-            F.lit(i).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation_of(a, b).alias("pearson"),
-            rho.alias("spearman"), F.count_if(ok).alias("n"), F.count(F.lit(1)).alias("n_total"),
-            F.abs(F.skewness(a)).alias("skew_a"), F.abs(F.skewness(b)).alias("skew_b"),
+            F.lit(k).alias("pair"), F.lit(a).alias("col_a"), F.lit(b).alias("col_b"), correlation_of(x, y).alias("pearson"),
+            correlation_of(F.when(ok, F.col(f"r{i}_{variant(b)}")), F.when(ok, F.col(f"r{j}_{variant(a)}"))).alias("spearman"),
+            F.count_if(ok).alias("n"), F.count(F.lit(1)).alias("n_total"), F.abs(F.skewness(x)).alias("skew_a"), F.abs(F.skewness(y)).alias("skew_b"),
         ))
-    out = _pack(ranked, items)
-    for i, (a, b) in enumerate(pairs):
-        if a in whole and b in whole:
-            continue
-        part = attach_ranks(df.select(a, b).na.drop(), [a, b]).agg(
-            F.lit(i).alias("pair"), correlation_of(f"_rk_{a}", f"_rk_{b}").alias("_rho")
-        )
-        out = out.join(F.broadcast(part), "pair", "left").withColumn(
-            "spearman", F.coalesce("spearman", "_rho")
-        ).drop("_rho")
-    return out
+    return _pack(ranked, items)
 
 
 def _kendall_terms(df: DataFrame, x: str, y: str) -> DataFrame:

@@ -100,3 +100,20 @@ def test_timeseries_bundle(spark):
     out = ts.run_timeseries(df, "d", "v")
     assert out["frequency"].first()["frequency"] == "daily" and out["trend"].first()["trend"] == "up"
     assert out["forecast"].count() == 22 and out["gaps"].count() == 0
+
+
+def test_ranks_of_many_columns_with_nulls_in_few_jobs(spark):
+    rng = np.random.default_rng(21)
+    x = np.round(rng.normal(size=(400, 12)) @ rng.normal(size=(12, 12)), 1)
+    x[: 400 // 3, 2] = 7.0
+    for i in range(0, 12, 2):
+        x[rng.random(400) < 0.2, i] = np.nan
+    pdf = pd.DataFrame(x, columns=[f"c{i}" for i in range(12)]).assign(value=x[:, 1] * 2)
+    df = spark.createDataFrame(pdf).cache()
+    df.count()
+    spark.sparkContext.setJobGroup("ranks", "ranks")
+    got = cor.pair_correlations(df, list(pdf.columns)).toPandas()
+    spark.sparkContext.setJobGroup("", "")
+    want = pdf.corr(method="spearman")
+    assert len(got) == 78 and all(abs(r.spearman - want.loc[r.col_a, r.col_b]) < 1e-9 for r in got.itertuples())
+    assert all(r.n == pdf[[r.col_a, r.col_b]].dropna().shape[0] for r in got.itertuples())
