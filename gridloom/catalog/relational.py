@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+
 from pyspark.sql import functions as F
 
 from gridloom.catalog.base import query
@@ -168,12 +170,18 @@ def _(t):
     return agg.duplicate_summary(t.documents, ["text"])
 
 
-@query("natural_keys_conversations", "AGG-13", """
-SELECT 'conv_id,turn' AS columns, 2::BIGINT AS n_columns, count(DISTINCT (conv_id, turn)) AS n_distinct,
-       count(DISTINCT (conv_id, turn)) = count(*) AS is_key FROM conversations""")
+_CONV = ["conv_id", "turn", "role", "text"]
+
+
+def _key_sql(cols) -> str:
+    names = ",".join(cols)
+    distinct = f"count(DISTINCT ({names}))" if len(cols) > 1 else f"count(DISTINCT {names})"
+    return f"SELECT '{names}' AS columns, {len(cols)}::BIGINT AS n_columns, {distinct} AS n_distinct, true AS is_key FROM conversations HAVING {distinct} = count(*) AND " + " AND ".join(f"count({c}) = count(*)" for c in cols)
+
+
+@query("natural_keys_conversations", "AGG-13", " UNION ALL ".join(_key_sql(k) for k in [*[(c,) for c in _CONV], *combinations(_CONV, 2)]))
 def _(t):
-    keys = agg.natural_keys(t.conversations.select("conv_id", "turn", "role"))
-    return keys.where("is_key").where("columns = 'conv_id,turn'")
+    return agg.natural_keys(t.conversations.select(*_CONV)).where("is_key")
 
 
 @query("concentration_balances", "AGG-14", """
