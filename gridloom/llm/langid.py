@@ -185,11 +185,23 @@ def language_report(docs: DataFrame) -> DataFrame:
     return identify(docs.select("doc_id", "text"), network).select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "lang_pred", "score")
 
 
-def keep_identified(docs: DataFrame, at_least: float = 0.3) -> DataFrame:
-    """``docs`` without those that are rejected: no language found, or a pooled probability under ``at_least`` (which short
-    but clean texts still reach: with four languages none can be under a quarter)."""
+#: A text is identified if its best language has this many times the probability of a blind guess.
+OVER_CHANCE = 1.2
+
+
+def keep_identified(docs: DataFrame, over_chance: float = OVER_CHANCE) -> DataFrame:
+    """``docs`` without those that are rejected: no letter, or a best pooled probability under ``over_chance`` / languages.
+
+    The bar follows the number of learned languages, so that texts hardly better than a guess go whether there are two or
+    hundreds (0.3 for four). Where fewer than two languages can be learned nothing tells texts apart: with one only texts
+    without a letter go, with none every document stays. Null and empty texts have no letter. Repeated rows share their
+    fate; columns pass through, also ones named lang_pred or score; an empty table stays empty.
+    """
     held_out = remainder(F.col("doc_id"), 3) == 1
     network = fit_languages(docs.filter(~held_out).select("doc_id", "text", "lang"))
+    if not network.languages:
+        return docs
+    at_least = over_chance / len(network.languages) if len(network.languages) > 1 else 0.0
     aside = docs.withColumnsRenamed({c: f"__kept_{c}" for c in docs.columns if c in ("lang_pred", "score")})
     found = identify(aside, network).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= at_least)).drop("lang_pred", "score")
     return found.withColumnsRenamed({f"__kept_{c}": c for c in ("lang_pred", "score")}).select(*docs.columns)

@@ -55,6 +55,15 @@ def test_language_of_awkward_texts(spark):
     assert empty.count() == 0 and {r["lang_pred"] for r in langid.language_report(df.withColumn("lang", F.lit(None).cast("string"))).collect()} == {"und"}
 
 
+def test_documents_stay_where_no_language_can_be_learned(spark):
+    rows = [(i, "the house and the tree", None if i % 2 else "") for i in range(6)] + [(7, None, None), (8, "", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.keep_identified(df.withColumn("lang", F.lit(None).cast("string"))).count() == len(rows)
+    one = langid.keep_identified(df.withColumn("lang", F.lit("en")))
+    assert {r["doc_id"] for r in one.collect()} == set(range(6))
+    assert langid.keep_identified(df.limit(0)).count() == 0
+
+
 def test_quality_held_out(spark):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     rows = op8_pairwise_quality(spark, "/root/testdata/sf0.1").join(labels, "doc_id").collect()
