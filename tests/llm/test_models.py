@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from gridloom.llm import langid, quality, scoring
 from gridloom.llm.queries import op6_masked_likelihood, op7_byte_language_id, op8_pairwise_quality
+from gridloom.session import settle
 
 DIR = "/root/testdata/sf0.01"
 
@@ -170,7 +171,7 @@ def test_words_outside_the_head_are_scored_by_their_counts(spark):
 
 def test_the_fit_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").limit(300)
-    docs = docs.union(docs.limit(20)).union(docs.filter("doc_id = 3")).localCheckpoint()
+    docs = settle(docs.union(docs.limit(20)).union(docs.filter("doc_id = 3")))
     runs = [{(r["doc_id"], r["n_tokens"], r["log_likelihood"]) for r in scoring.likelihood_report(d).collect()} for d in (docs.coalesce(1), docs.repartition(7, "text"))]
     assert {x[:2] for x in runs[0]} == {x[:2] for x in runs[1]}
     a, b = ({x[0]: x[2] for x in r} for r in runs)
