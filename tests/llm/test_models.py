@@ -169,6 +169,46 @@ def test_words_outside_the_head_are_scored_by_their_counts(spark):
         assert r["log_likelihood"] == pytest.approx(network.log_likelihood([coded])[0] + own, abs=1e-4)
 
 
+def test_the_score_of_a_whole_text_is_that_of_a_plain_loop(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").limit(200)
+    network = scoring.train(docs, vocabulary=50)
+    table = {bytes(r["word"]): r["n"] for r in scoring.word_counts(docs).collect()}
+    words, side = network.words, network.side
+    for r in scoring.score_documents(docs, network).limit(12).collect():
+        text = scoring.fold((r["text"] or "").encode())
+        ids = [words.ids.get(w) or len(words.ids) + 2 + scoring.crc32(w) % len(words.hashed) for w in text]
+        total = 0.0
+        for i, word in enumerate(text):
+            state = 0.0
+            for k, shift in enumerate(s for s in range(-side, side + 1) if s):
+                state = state + network.contexts[k][ids[i + shift] if 0 <= i + shift < len(ids) else scoring.EDGE].astype(float)
+            state = state / (1 + np.abs(state))
+            for at in range(words.at[ids[i]], words.at[ids[i] + 1]):
+                node = network.inner[words.nodes[at]].astype(float)
+                total -= np.log1p(np.exp(-words.turns[at] * (node[:-1] @ state + node[-1])))
+            if word not in words.ids:
+                total += np.log(table[word]) - np.log1p(words.hashed[ids[i] - len(words.ids) - 2])
+        assert r["n_tokens"] == len(text) and r["log_likelihood"] == pytest.approx(total, rel=1e-4, abs=1e-3)
+
+
+def test_every_text_is_taught_once_in_slices_of_equal_shares(spark, monkeypatch):
+    assert scoring.slices(1) == [(0, 1)] and scoring.slices(40) == [(0, 3), (3, 8), (8, 18), (18, 40)]
+    docs = spark.createDataFrame([(f"word{i % 50} and word{i % 7} here",) for i in range(900)] + [("a b c d",)] * 600 + [(None,), ("",)], "text string")
+    words = scoring.Words.of([(b"and", 900)], 0, 0, np.full(4, 9))
+    dealt = scoring.dealt_texts(docs, words, 13)
+    rows = dealt.groupBy("share").agg({"copies": "sum"}).collect()
+    assert dealt.rdd.getNumPartitions() == 13 and sum(r[1] for r in rows) == 1500
+    hot = [r[1] for r in dealt.filter("copies > 40").groupBy("share").agg({"copies": "sum"}).collect()]
+    assert len(hot) == 13 and max(hot) - min(hot) <= 1
+    parts = dealt.selectExpr("spark_partition_id() AS p", "share").distinct().collect()
+    assert len(parts) == len({r["p"] for r in parts}) == len({r["share"] for r in parts})
+    monkeypatch.setattr(scoring, "SHARE_WORDS", 700)
+    network = scoring.train(docs)
+    blank = scoring.WindowNetwork(network.words)
+    coded = [network.words.coded(b"a b c d"), network.words.coded(b"word3 and word3 here")]
+    assert (network.log_likelihood(coded) > blank.log_likelihood(coded)).all()
+
+
 def test_the_fit_does_not_depend_on_partitions(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text").limit(300)
     docs = settle(docs.union(docs.limit(20)).union(docs.filter("doc_id = 3")))
