@@ -112,9 +112,11 @@ FROM d LEFT JOIN covered USING (r) LEFT JOIN named USING (r)
 
 OP5 = r"""
 WITH d AS (SELECT doc_id, text, string_split(text, chr(10)) AS lines, row_number() OVER (ORDER BY doc_id NULLS FIRST, text) AS r FROM documents),
-wins AS (SELECT r, i, lines[i] AS a, lines[i + 1] AS b, lines[i + 2] AS c FROM (SELECT r, lines, unnest(range(1, len(lines) - 1)) AS i FROM d WHERE len(lines) >= 3)),
-later AS (SELECT r, i FROM (SELECT r, i, row_number() OVER (PARTITION BY a, b, c ORDER BY r, i) AS k FROM wins) WHERE k > 1),
-gone AS (SELECT DISTINCT r, unnest([i, i + 1, i + 2]) AS i FROM later),
+three AS (SELECT r, i, least(len(lines), 3) AS n, lines FROM (SELECT r, lines, unnest(range(1, greatest(len(lines) - 1, 2))) AS i FROM d WHERE text <> '')),
+passages AS (SELECT r, i, 1 AS n, lines FROM (SELECT r, lines, unnest(range(1, len(lines) + 1)) AS i FROM d) WHERE len(regexp_extract_all(lines[i], '[^\x20\x09-\x0D]+')) > 50),
+wins AS (SELECT r, i, n, lines[i:i + n - 1] AS win FROM (SELECT * FROM three UNION ALL SELECT * FROM passages WHERE len(lines) > 1)),
+later AS (SELECT r, i, n FROM (SELECT r, i, n, row_number() OVER (PARTITION BY n, win ORDER BY r, i) AS k FROM wins) WHERE k > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + n)) AS i FROM later),
 cut AS (SELECT r, list(i) AS places FROM gone GROUP BY r)
 SELECT doc_id, CAST(coalesce(len(lines), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(places), 0) AS BIGINT) AS n_removed,
   CASE WHEN text IS NULL THEN NULL WHEN places IS NULL THEN text ELSE array_to_string([lines[i] FOR i IN range(1, len(lines) + 1) IF NOT list_contains(places, i)], chr(10)) END AS text

@@ -107,10 +107,14 @@ def brute_lines(rows):
     seen, gone = set(), defaultdict(set)
     for key in order:
         lines = key[2].split("\n")
-        for i in range(len(lines) - 2):
-            window = tuple(lines[i : i + 3])
+        if not key[2]:
+            continue
+        spots = [(i, min(3, len(lines))) for i in range(max(1, len(lines) - 2))]
+        spots += [(i, 1) for i, x in enumerate(lines) if len(x.split()) > 50 and len(lines) > 1]
+        for i, n in spots:
+            window = tuple(lines[i : i + n])
             if window in seen:
-                gone[key] |= {i, i + 1, i + 2}
+                gone[key] |= set(range(i, i + n))
             seen.add(window)
     out = []
     for d, t in rows:
@@ -123,10 +127,14 @@ def brute_lines(rows):
 def test_line_windows(spark):
     common = "license a\nlicense b\nlicense c\nlicense d"
     rows = [(i, f"own {i}\n{common}\nend {i}") for i in range(20)] + [(30, "x\ny"), (31, "x\ny"), (32, ""), (33, None), (34, "a\nb\nc\na\nb\nc\nq"), (35, "\n" * 50), (36, "a\nb\nc"), (37, "r\n" * 3000)]
+    passage, short = " ".join(f"p{i}" for i in range(51)), " ".join(f"q{i}" for i in range(50))
+    rows += [(50, f"{passage}\nz"), (51, f"k\nl\n{passage}\nm"), (52, passage), (53, passage), (54, f"n\n{short}\no\np"), (55, f"q\n{short}\ns\nt"), (56, ""), (57, f"{passage}\nz"), (58, "\n"), (59, "\n")]
     spread = sorted(brute_lines(rows).items(), key=str)
     df = spark.createDataFrame([(d, t, "old", 5) for d, t in rows], "doc_id long, text string, n_lines string, other int").repartition(3)
     got = Counter((r["doc_id"], r["n_lines"], r["n_removed"], r["text"]) for r in linededup.dedup_lines(df).collect())
     assert sorted(got.items(), key=str) == spread
+    left = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(df).filter("doc_id BETWEEN 50 AND 57").collect()}
+    assert left[51] == "k\nl\nm" and left[52] == left[53] == left[57] == "" and short in left[55] and passage in left[50]
     twice = [(40, "a\nb\nc\nd"), (40, "a\nb\nc\nd"), (None, "a\nb\nc"), (None, None)]
     got = Counter(tuple(r) for r in linededup.dedup_lines(spark.createDataFrame(twice, "doc_id long, text string")).select("doc_id", "n_lines", "n_removed", "text").collect())
     assert got == Counter({(None, 3, 0, "a\nb\nc"): 1, (None, 0, 0, None): 1, (40, 4, 3, "d"): 2})
