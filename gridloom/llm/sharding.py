@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gridloom.llm.common import running_start
 from gridloom.session import settle
@@ -53,18 +54,26 @@ def jump(key: Column, shards: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(shards)), start, hop, finish)
 
 
+def long_key(docs: DataFrame, key: str) -> Column:
+    """``key`` itself where it is a whole number of up to 64 bits, else its hash (null stays null)."""
+    if isinstance(docs.schema[key].dataType, T.IntegralType):
+        return F.col(key).cast("long")
+    return F.when(F.col(key).isNotNull(), F.xxhash64(key))
+
+
 def assign_shards(docs: DataFrame, shards: int = 16, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (doc_id, size, text_crc32, law, shard, slot, grown_shard), one for each document.
 
     ``key`` and the shard count alone decide the shard; one more shard takes rows only into itself. ``slot`` numbers the rows of
-    a shard from 0 without gaps, by a hash of the key, then size and checksum. Rows that agree in all of these are counted as
+    a shard from 0 without gaps, by a hash of key, size and checksum. Rows that agree in all of these are counted as
     one row and dealt out again at the end, so a key repeated for a third of the table is no hot group. Nulls: a null text
-    has no bytes (size 1) and no checksum, a null key counts as 0. An empty table gives no rows.
+    has no bytes (size 1) and no checksum, a null key counts as 0. A key that is no whole number (a text, a date) is hashed first. Many texts of one key spread over the
+    blocks of its shard. An empty table gives no rows.
     """
     utf8 = F.encode(F.col(text), "UTF-8")
-    rows = docs.select(F.col(key).alias("doc_id"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"))
-    counted = rows.groupBy("doc_id", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
-    placed = counted.withColumn("to", jump(F.col("doc_id"), shards)).select("*", F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard"), F.xxhash64("doc_id").alias("order")).drop("to")
+    rows = docs.select(F.col(key).alias("doc_id"), long_key(docs, key).alias("k"), (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"), F.crc32(utf8).alias("text_crc32"))
+    counted = rows.groupBy("doc_id", "k", "size", "text_crc32").agg(F.count(F.lit(1)).alias("n"))
+    placed = counted.withColumn("to", jump(F.col("k"), shards)).select("*", F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard"), F.xxhash64("doc_id", "size", "text_crc32").alias("order")).drop("to")
     blocked = settle(placed.withColumn("block", F.shiftrightunsigned("order", 54).cast("int")))
     started = running_start(blocked, "shard", "block", [F.col(c) for c in ("order", "doc_id", "size", "text_crc32")], F.col("n"), "start")
     dealt = started.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))

@@ -60,6 +60,19 @@ def test_shards_of_awkward_rows(docs):
     assert sharding.assign_shards(docs.limit(0), 16).count() == 0
 
 
+def test_shards_of_text_keys_and_of_one_key_with_many_texts(spark):
+    named = spark.createDataFrame([(f"k{i % 40}" if i % 9 else None, f"text {i}") for i in range(400)], "doc_id string, text string")
+    rows = sharding.assign_shards(named, 16).collect()
+    by_shard, by_key = {}, {}
+    for r in rows:
+        by_shard.setdefault(r["shard"], []).append(r["slot"])
+        by_key.setdefault(r["doc_id"], set()).add((r["shard"], r["grown_shard"]))
+    assert len(rows) == 400 and all(sorted(x) == list(range(len(x))) for x in by_shard.values()) and len(by_shard) > 8
+    assert all(len(x) == 1 and all(g in (s, 16) for s, g in x) for x in by_key.values())
+    one = spark.range(3000).selectExpr("CAST(7 AS LONG) AS doc_id", "concat('t', id) AS text")
+    assert sorted(r["slot"] for r in sharding.assign_shards(one, 16).collect()) == list(range(3000))
+
+
 def targets(sizes, cap=3.0):
     """Share by weight, stop at the cap, share the excess again."""
     names = sorted(sizes, key=lambda s: (s is None, s or ""))
