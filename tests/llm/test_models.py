@@ -1,6 +1,10 @@
 """Trained operators: accuracy on held-out rows, gradients, and probabilities that sum to one."""
 
+import itertools
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -216,3 +220,56 @@ def test_the_fit_does_not_depend_on_partitions(spark):
     assert {x[:2] for x in runs[0]} == {x[:2] for x in runs[1]}
     a, b = ({x[0]: x[2] for x in r} for r in runs)
     assert all(a[i] == pytest.approx(b[i], rel=1e-9) for i in a)
+
+
+def test_words_of_many_texts_are_those_of_each_text():
+    texts = [b"  A\x0bb\x0c c\x1cd e  ", b"", b" ", None, b"x y", " Q r Z İÄ \u0085".encode(), b"\x1f a\x00b\t", b"\n\n", b"\xff\xfe A\xc3", b"b"]
+    for kind, some in itertools.product((pa.string(), pa.large_string()), (texts, texts[3:5], [None], [b" "], [])):
+        array = pa.array([b"cut", *some], pa.binary() if kind == pa.string() else pa.large_binary()).view(kind)[1:]
+        words, sizes = scoring.split_words(array)
+        assert scoring.byte_words(words) == [w for t in some for w in scoring.fold(t)] and sizes.tolist() == [len(scoring.fold(t)) for t in some]
+        for hashed in (np.full(5, 3), np.zeros(0, np.int64)):
+            ids = scoring.Words.of([(b"a", 9), (b"b", 8), (b"x", 2)], 0, 0, hashed)
+            assert [c.tolist() for c in ids.coded_all(array)] == [ids.coded(t).tolist() for t in some]
+    none = scoring.Words.of([], 0, 0)
+    assert none.coded_all(pa.array(["a b"]))[0].tolist() == [scoring.RARE] * 2 and scoring.WindowNetwork(none).log_likelihood([none.coded(b"a b")]).tolist() == [0]
+
+
+def plain_step(network, squares, target, around, rate=0.3):
+    """One step with all turns of all places at once."""
+    h = network.states(around)
+    place, node, turn, vector, score = network.turns(target, h)
+    pull = turn / (1 + np.exp(np.clip(score, -30, 30)))
+    d_vector = np.concatenate([h.take(place, axis=0) * pull[:, None], pull[:, None]], axis=1)
+    d_h = np.zeros_like(h)
+    firsts = np.flatnonzero(np.diff(place, prepend=-1))
+    d_h[place[firsts]] = np.add.reduceat(vector[:, :-1] * pull[:, None], firsts, axis=0)
+    d_h *= (1 - np.abs(h)) ** 2
+    for k, (table, ids, grads) in enumerate([(network.inner, node, d_vector), *((t, i, d_h) for t, i in zip(network.contexts, around))]):
+        rows, at = np.flatnonzero(np.bincount(ids, minlength=len(table))), np.empty(len(table), np.int64)
+        at[rows] = np.arange(len(rows))
+        sums = np.stack([np.bincount(at.take(ids), weights=g, minlength=len(rows)) for g in grads.T], axis=1)
+        squares[k][rows] += sums**2
+        table[rows] += rate * sums / np.sqrt(squares[k][rows])
+
+
+def test_a_step_by_levels_is_the_plain_step_in_less_room():
+    rng = np.random.default_rng(5)
+    kept = [(b"w%d" % i, 1 + 400_000 // (i + 2)) for i in range(12_000)]
+    words = scoring.Words.of(kept, 0, 0, rng.integers(1, 40, 12_000))
+    coded = [2 + np.minimum(rng.zipf(1.15, n) - 1, words.size - 3) for n in rng.integers(1, 600, 200)]
+    target, plain, network = np.concatenate(coded), scoring.WindowNetwork(words), scoring.WindowNetwork(words)
+    trainer, around = scoring.Trainer(network), network.windows(coded)
+    squares = [np.full(t.shape, 1e-2) for t in (plain.inner, *plain.contexts)]
+    room = []
+    for a in range(0, len(target), scoring.STEP_WORDS):
+        some, near = target[a : a + scoring.STEP_WORDS], around[:, a : a + scoring.STEP_WORDS]
+        plain_step(plain, squares, some, near)
+        tracemalloc.start()
+        trainer.step(some, near)
+        room.append(tracemalloc.get_traced_memory()[1] / words.lengths.take(some).sum(dtype=int))
+        tracemalloc.stop()
+    assert len(room) > 5 and np.abs(trainer.tables[-1] - plain.inner).max() < 1e-3
+    assert all(np.abs(a - b).max() < 1e-3 for a, b in zip(trainer.tables, plain.contexts))
+    assert [s.sum() for s in trainer.seen] == [len(target)] * 4 + [words.lengths.take(target).sum(dtype=int)]
+    assert max(room) < 130  # bytes a turn
