@@ -1,6 +1,9 @@
 """Trained operators: accuracy on held-out rows, gradients, and probabilities that sum to one."""
 
 import itertools
+import os
+import subprocess
+import sys
 import tracemalloc
 
 import numpy as np
@@ -132,6 +135,27 @@ def test_corpus_counts_are_whole(spark):
     assert {bytes(r["word"]): r["n"] for r in scoring.word_counts(df).collect()} == {b"a": 2, b"b": 2, b"c": 1}
 
 
+@pytest.mark.parametrize("k", [0, 1, 5, 6, 40, 300, 2000])
+def test_the_most_frequent_words_are_those_of_a_sort(spark, k):
+    rows = [(f"w{i * 7919 % 1009:04d}é".encode(), 9 if i < 5 else 3 if i < 8 else 1) for i in range(1009)]
+    got = scoring.most_frequent(spark.createDataFrame(rows, "word binary, n long").repartition(7), k)
+    assert got == sorted(rows, key=lambda r: (-r[1], r[0]))[:k]
+
+
+def test_the_word_table_does_not_come_to_the_driver(tmp_path):
+    code = """
+import numpy as np
+from pyspark.sql import SparkSession
+from gridloom.llm import scoring
+spark = SparkSession.builder.master("local[4]").config(map={"spark.driver.maxResultSize": "8m", "spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.checkpoint.dir": CKPT}).getOrCreate()
+docs = spark.range(2000).selectExpr("array_join(transform(sequence(0, 149), i -> concat('word', id * 150 + i)), ' ') AS text")
+print("learned", len(scoring.train(docs).words.ids))
+"""
+    env = os.environ | {"PYTHONPATH": os.path.dirname(os.path.dirname(scoring.__file__)).rpartition("/")[0]}
+    run = subprocess.run([sys.executable, "-c", code.replace("CKPT", repr(str(tmp_path)))], env=env, capture_output=True, text=True, timeout=300)
+    assert "learned 4382" in run.stdout, run.stderr[-2000:]
+
+
 def test_training_lifts_the_likelihood(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").select("text")
     trained = scoring.train(docs)
