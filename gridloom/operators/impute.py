@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.cleaning import numeric_medians
-from gridloom.plans.metric import distances, matrix, meet, settle_cells, stripes
+from gridloom.plans import metric
+from gridloom.plans.boxes import by_pattern, distinct, levels, nearest_levels, settle_boxes
+from gridloom.plans.metric import distances, matrix, meet, stripes
 from gridloom.session import settle
 
 MAX_ROUNDS, TOLERANCE, RIDGE = 15, 1e-3, 1e-6
@@ -213,30 +215,54 @@ def impute_chained(df: DataFrame, row_id: str, target: str, others: Sequence[str
 # --- nearest donors ---------------------------------------------------------------------------------------------------
 
 
+#: Pairs of null patterns of seekers and donors in one piece that are looked into one by one.
+PATTERN_PAIRS = 256
+
+
 def _levels_of_piece(k: int):
-    """The donors of a piece nearest to each seeker: for each distance their number and the sum of their values."""
+    """The donors of a piece nearest to each seeker: for each distance their number and the sum of their values.
+
+    Seekers and donors of two null patterns meet in the components that both know: there equal seekers are one, equal donors
+    one with their weight, and nothing is unknown. A piece of very many patterns is compared pair by pair.
+    """
 
     def found(asks: pa.Table, gives: pa.Table) -> pa.Table:
-        out = {"id": [], "d": [], "w": [], "wv": []}
+        parts = []
         if asks.num_rows and gives.num_rows:
             width = len(asks["vec"][0])
             x, y = matrix(asks["vec"], width), matrix(gives["d_vec"], width)
+            reach = np.asarray(asks["reach"].to_numpy(), np.float64)
+            reach = np.where(np.isnan(reach), np.inf, reach)
             ids, w, wv = asks["id"].to_numpy(), gives["d_w"].to_numpy().astype(np.float64), gives["d_wv"].to_numpy()
-            for s in stripes(len(x)):
-                d = np.round(distances(x[s], y), DECIMALS)
-                far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
-                who, which = np.nonzero((d <= far[:, None]) & np.isfinite(d))
-                at = d[who, which]
-                order = np.lexsort((at, who))
-                who, which, at = who[order], which[order], at[order]
-                new = np.flatnonzero(np.append(True, (who[1:] != who[:-1]) | (at[1:] != at[:-1]))[: len(who)])
-                if len(new):
-                    out["id"].append(ids[s][who[new]])
-                    out["d"].append(at[new])
-                    out["w"].append(np.add.reduceat(w[which], new))
-                    out["wv"].append(np.add.reduceat(wv[which], new))
-        kinds = {"id": np.int64, "d": np.float64, "w": np.float64, "wv": np.float64}
-        return pa.table({c: np.concatenate(v).astype(kinds[c]) if v else np.zeros(0, kinds[c]) for c, v in out.items()})
+            theirs, ours = by_pattern(x), by_pattern(y)
+            if len(theirs) * len(ours) > PATTERN_PAIRS:
+                parts = [all_pairs(ids[s], x[s], y, w, wv) for s in stripes(len(x))]
+            else:
+                parts = [part for seeks, i in theirs for gives_, j in ours if (part := shared(seeks & gives_, ids[i], x[i], reach[i], y[j], w[j], wv[j]))]
+        kinds = (("id", np.int64), ("d", np.float64), ("w", np.float64), ("wv", np.float64))
+        return pa.table({c: np.concatenate([p[n] for p in parts]).astype(kind) if parts else np.zeros(0, kind) for n, (c, kind) in enumerate(kinds)})
+
+    def all_pairs(ids: np.ndarray, x: np.ndarray, y: np.ndarray, w: np.ndarray, wv: np.ndarray) -> tuple[np.ndarray, ...]:
+        d = np.round(distances(x, y), DECIMALS)
+        far = np.partition(d, min(k, d.shape[1]) - 1, axis=1)[:, min(k, d.shape[1]) - 1]
+        who, which = np.nonzero((d <= far[:, None]) & np.isfinite(d))
+        at, *rest = levels(who, d[who, which], w[which], wv[which], k)
+        return ids[at], *rest
+
+    def shared(known: np.ndarray, ids: np.ndarray, x: np.ndarray, reach: np.ndarray, y: np.ndarray, w: np.ndarray, wv: np.ndarray) -> tuple[np.ndarray, ...] | None:
+        if not known.any():
+            return None
+        scale = len(known) / known.sum()
+        (x, of), (y, spot) = distinct(x[:, known]), distinct(y[:, known])
+        most = np.full(len(x), -np.inf)
+        np.maximum.at(most, of, reach)
+        w, wv = np.bincount(spot, weights=w), np.bincount(spot, weights=wv)
+        at, d, w, wv = nearest_levels(x, most, y, w, wv, scale, k, DECIMALS)
+        # Every seeker gets the levels of its place.
+        starts = np.searchsorted(at, np.arange(len(x) + 1))
+        often = np.diff(starts)[of]
+        rows = np.repeat(starts[of] - np.cumsum(often) + often, often) + np.arange(often.sum())
+        return np.repeat(ids, often), d[rows], w[rows], wv[rows]
 
     return found
 
@@ -254,8 +280,8 @@ def impute_nearest(df: DataFrame, row_id: str, target: str, others: Sequence[str
     Distances run over the other numbers, standardised, and only over those that both rows know (scaled up by the root of all /
     shared); rows that share none are no donors. Donors equally far share what is left of the k places; if some are at
     distance 0, theirs is the fill. A seeker without any donor gets the mean of the column. Equal donor positions are one donor
-    with a weight, equal seekers one seeker. Exact: a seeker first looks into the cell most like it, which bounds how far the
-    k-th donor can be, then into every other cell that may hold a nearer one.
+    with a weight, equal seekers one seeker. Exact: a seeker first looks into the cell whose k-th donor should be the nearest,
+    which bounds how far it can be, then into every other cell that may hold a nearer one.
     """
     others = list(dict.fromkeys(c for c in others if c != target))
     value = _number(target)
@@ -268,11 +294,11 @@ def impute_nearest(df: DataFrame, row_id: str, target: str, others: Sequence[str
     donors = rows.where("v IS NOT NULL").groupBy("vec").agg(F.count(F.lit(1)).cast("double").alias("w"), F.sum("v").alias("wv"))
     seekers = settle(rows.where("v IS NULL").select("vec").distinct().select(F.monotonically_increasing_id().alias("id"), "vec"))
     k = max(1, min(k, facts["n"] - 1))
-    cells, placed = settle_cells(donors, len(others), members=8 * k)
+    cells, placed = settle_boxes(donors, len(others), k)
     found, schema = _levels_of_piece(k), "id long, d double, w double, wv double"
-    first = settle(meet(seekers.withColumn("reach", F.lit(0.0)), cells, placed, True, found, schema, "id"))
+    first = settle(meet(seekers.withColumn("reach", F.lit(None).cast("double")), cells, placed, True, found, schema, "id", 8 * metric.PIECE))
     bound = _nearest_levels(first, k).groupBy("id").agg(F.max("d").alias("d"), F.sum("w").alias("w")).where(F.col("w") >= k).select("id", (F.col("d") + 10.0**-DECIMALS).alias("reach"))
-    more = meet(seekers.join(bound, "id", "left"), cells, placed, False, found, schema, "id")
+    more = meet(seekers.join(bound, "id", "left"), cells, placed, False, found, schema, "id", 8 * metric.PIECE)
     used = _nearest_levels(first.unionByName(more), k).withColumn("use", F.least("w", k - F.col("before")))
     weight = F.col("use") / F.col("d")
     fills = used.groupBy("id").agg(F.coalesce(F.max(F.when(F.col("d") == 0, F.col("wv") / F.col("w"))), F.sum(F.when(F.col("d") > 0, weight * F.col("wv") / F.col("w"))) / F.sum(F.when(F.col("d") > 0, weight))).alias("fill"))

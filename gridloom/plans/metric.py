@@ -165,12 +165,12 @@ def settle_cells(donors: DataFrame, width: int, members: int = 0) -> tuple[Cells
     return cells, placed.join(blocks, "cell").withColumn("block", F.pmod(F.xxhash64("vec", F.lit(1)), "blocks").cast("int")).drop("gap", "blocks")
 
 
-def meet(seekers: DataFrame, cells: Cells, donors: DataFrame, home: bool, found: Callable[[pa.Table, pa.Table], pa.Table], schema: str, seed: str) -> DataFrame:
+def meet(seekers: DataFrame, cells: Cells, donors: DataFrame, home: bool, found: Callable[[pa.Table, pa.Table], pa.Table], schema: str, seed: str, asks: int | None = None) -> DataFrame:
     """Bring seekers (with vec and reach) and the donors of cells together, piece by piece, through ``found``.
 
     ``home``: each seeker visits only the cell most worth it; else all others whose bound is within its reach (null: all).
     A piece is a block of donors and a share of the seekers that visit it, so no cell, however full or asked for, is one
-    task. ``seed`` names the column by which seekers are dealt into shares.
+    task. ``seed`` names the column by which seekers are dealt into shares (of PIECE rows, or ``asks``).
     """
     spark, width = seekers.sparkSession, cells.width
     shared = spark.sparkContext.broadcast(cells)
@@ -202,7 +202,7 @@ def meet(seekers: DataFrame, cells: Cells, donors: DataFrame, home: bool, found:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(cell_of, pa.int32()), pa.array(block, pa.int32())], names=[f.name for f in out])
 
     visits = seekers.select(*[f.name for f in fields]).mapInArrow(visit, out)
-    asked = visits.where("block = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / PIECE).cast("int").alias("shares")).where("shares > 1").collect()
+    asked = visits.where("block = 0").groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / (asks or PIECE)).cast("int").alias("shares")).where("shares > 1").collect()
     shares = F.broadcast(spark.createDataFrame([tuple(r) for r in asked], "cell int, shares int"))
     mine = visits.join(shares, "cell", "left").withColumn("share", F.pmod(F.xxhash64(seed, F.lit(7)), F.coalesce("shares", F.lit(1))).cast("int")).drop("shares")
     theirs = donors.join(shares, "cell", "left").withColumn("share", F.explode(F.sequence(F.lit(0), F.coalesce("shares", F.lit(1)) - 1))).drop("shares")

@@ -128,3 +128,44 @@ def test_nearest_fills_match_all_pairs(spark, case, monkeypatch):
     df = _table(spark, pd.DataFrame(x, columns=list("abcd")).assign(id=np.arange(n), v=v))
     got = impute.impute_nearest(df, "id", "v", list("abcd")).toPandas().sort_values("id")["v"].to_numpy()
     assert np.abs(got - _donors(x, v, 5)).max() < 1e-6
+
+
+@pytest.mark.parametrize("k", [1, 5, 300])
+def test_levels_inside_a_cell_match_all_pairs(k):
+    from gridloom.plans.boxes import nearest_levels
+
+    rng = np.random.default_rng(k)
+    x, y = np.round(rng.normal(size=(200, 2)), 1), np.unique(np.round(rng.normal(size=(5000, 2)), 2), axis=0)
+    w, wv = rng.integers(1, 4, len(y)).astype(float), rng.normal(size=len(y))
+    reach = np.where(np.arange(200) % 3 == 0, 0.05, np.inf)
+    got = list(zip(*(c.tolist() for c in nearest_levels(x, reach, y, w, wv, 1.5, k, 9))))
+    want = []
+    for i, d in enumerate(np.round(np.sqrt(((x[:, None] - y) ** 2).sum(axis=2) * 1.5), 9)):
+        before = 0.0
+        for at in np.unique(d[d <= reach[i]]):
+            if before >= k:
+                break
+            want.append((i, at, w[d == at].sum(), wv[d == at].sum()))
+            before += w[d == at].sum()
+    assert [r[:3] for r in got] == [r[:3] for r in want] and np.allclose([r[3] for r in got], [r[3] for r in want])
+
+
+def test_no_row_of_a_box_is_nearer_than_its_bound(spark, monkeypatch):
+    from gridloom.plans import boxes, metric
+
+    monkeypatch.setattr(metric, "PIECE", 25)
+    rng = np.random.default_rng(3)
+    y = np.round(rng.normal(size=(3000, 3)), 2)
+    y[rng.random(y.shape) < 0.2] = np.nan
+    y = np.array(sorted({tuple(None if np.isnan(v) else float(v) for v in r) for r in y}, key=str), object)
+    donors = spark.createDataFrame([(list(r), 2.0) for r in y], "vec array<double>, w double")
+    found, placed = boxes.settle_boxes(donors, 3, 5)
+    rows = placed.toPandas()
+    assert len(rows) == len(y) and found.cells > 20 and found.weight.sum() == 2 * len(y)
+    x = rng.normal(size=(50, 3))
+    x[rng.random(x.shape) < 0.3] = np.nan
+    low, worth = found.bounds(x)
+    of, cell = metric.distances(x, np.array([[np.nan if v is None else v for v in r] for r in rows["vec"]], float)), rows["cell"].to_numpy()
+    for c in range(found.cells):
+        assert (low[:, c] <= of[:, cell == c].min(axis=1)).all() and (np.isinf(low[:, c]) == np.isinf(of[:, cell == c]).all(axis=1)).all()
+    assert np.mean(low == 0) < 0.5 and (worth >= low).all()
