@@ -1,10 +1,14 @@
 """Text layouts read from real files, the SQL guard, model training and scoring."""
 
+import os
+import re
+
 import numpy as np
 import pandas as pd
 import pytest
 
 from gridloom.operators import adhoc, automl, filters as flt, joins as jn
+from gridloom.session import ensure_checkpoint_dir
 from gridloom.sources import lines as ln, prepared as pr
 
 FILES = {
@@ -127,3 +131,59 @@ def test_long_quoted_cells_do_not_recurse(spark):
     d = spark.createDataFrame([(line, ",")], "line string, delimiter string")
     got = d.select(ln.cells().alias("c")).first()["c"]
     assert len(got) == 3 and got[2] == "end" and got[1].count('"x"') == 50_000
+
+
+def _plain_records(lines):
+    """Line by line: the state at the end of each, then the records; a quote open at the end of the file opens nothing."""
+    quoted, start = r'"[^"]*+(?:""[^"]*+)*+"', r"(^|[,\t;|])\s*+"
+    left_open = lambda t: bool(re.search(start + r'"[^"]*+(?:""[^"]*+)*+\Z', re.sub(start + quoted + r"(?=\s*+(?:[,\t;|]|\Z))", r"\1", t)))
+    inside, records, opened = False, [], None
+    for i, line in enumerate(lines):
+        if not inside:
+            records.append([line])
+            opened = i
+        else:
+            records[-1].append(line)
+        if inside:
+            closes = re.match(r'[^"]*+(?:""[^"]*+)*+"', line)
+            inside = left_open(line[closes.end() :]) if closes else True
+        else:
+            inside = left_open(line)
+    if inside:
+        records = records[:-1] + [[line] for line in lines[opened:]]
+    return ["\n".join(r) for r in records]
+
+
+@pytest.mark.parametrize("size", [7, 40, 300, 100_000])
+def test_records_reach_over_blocks_of_any_size(spark, tmp_path, size):
+    rng, files = np.random.default_rng(size), {}
+    words = ['a', 'b,c', '"', '""', '"x', 'y"', '"q,r"', ',"', '",', ' ', 'é', '"long\nand', 'longer"', "\n"]
+    for i in range(12):
+        text = "".join(rng.choice(words, p=[0.2, 0.1, 0.03, 0.03, 0.03, 0.03, 0.1, 0.05, 0.05, 0.1, 0.05, 0.03, 0.03, 0.17]) for _ in range(int(rng.integers(1, 120)))) + "\n"
+        files[f"f{i:02d}.csv"] = text
+        (tmp_path / f"f{i:02d}.csv").write_text(text, encoding="utf-8")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k, v in zip(before, (str(size), "1")):
+            spark.conf.set(k, v)
+        rows = ln.read_lines(spark, str(tmp_path))
+        for k, v in before.items():  # the blocks stay as they are
+            spark.conf.set(k, v)
+        got = {}
+        for r in rows.collect():
+            assert got.setdefault(r["file"][-7:], {}).setdefault(r["line_no"], r["line"]) is r["line"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == {n: dict(enumerate(_plain_records(t[:-1].split("\n")))) for n, t in files.items()}
+
+
+def test_no_text_of_a_table_is_kept(spark, tmp_path):
+    rows = [(i, f"two lines {i}\nof text, " + np.random.default_rng(i).bytes(10_000).hex()) for i in range(300)]
+    pr.write_csv(spark.createDataFrame(rows, "id long, text string").repartition(4, "id"), str(tmp_path / "csv"))
+    kept = lambda: sum(os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(spark.sparkContext.getCheckpointDir().removeprefix("file:")) for f in names)
+    ensure_checkpoint_dir(spark)
+    before = kept()
+    lines = ln.read_lines(spark, str(tmp_path / "csv"))
+    got = ln.table_records(lines, ln.intake_manifest(lines)).select("cells").collect()
+    assert sorted((int(r["cells"]["id"]), r["cells"]["text"]) for r in got) == rows and kept() - before < 2_000_000
